@@ -1,0 +1,99 @@
+"""Secret scans with corpus-wide ownership frequency.
+
+Every text is scanned for the base kinds and for a few kinds of vendor keys. A candidate's value is hashed,
+and over the whole corpus the distinct repositories and owners that have it are counted: a value that
+several owners have is a widely copied example, a value of one owner looks like a live credential. Base
+findings are always reported; vendor keys are added where they look live.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import cut, small
+
+#: Kinds in the order that breaks ties; pattern, group of the value, least characters of the value.
+BASE = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", r"[0-9a-f]{16,}", 0, 16),
+)
+VENDOR = (
+    ("forge", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20,})", 0, 20),
+    ("chat", r"\bxox[abprs]-[A-Za-z0-9-]{20,}", 0, 20),
+    ("sk", r"\bsk[-_](?:live[-_]|test[-_]|proj-)?[A-Za-z0-9]{20,}", 0, 20),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 30),
+    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}", 0, 60),
+)
+KINDS = tuple(k for k, *_ in (*BASE, *VENDOR))
+#: Owners from which a value counts as widely copied.
+COPIED_OWNERS = 3
+
+
+def _found(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
+    """Structs ``start, rank, end, value`` of a pattern's matches, leftmost and non-overlapping, in code points.
+
+    A match starts after all text between matches and all matches before it. Short values are dropped
+    after matching, so that they still use up their text.
+    """
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    sizes = F.transform(whole, F.char_length)
+    gaps = F.transform(F.split(text, pattern), F.char_length)
+    step = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), sizes.alias("size"), value.alias("value"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>").alias("out"))
+    walked = F.aggregate(
+        step, zero,
+        lambda s, m: F.struct(
+            (s["at"] + m["gap"] + m["size"]).alias("at"),
+            F.when(
+                F.char_length(m["value"]) >= least,
+                F.concat(s["out"], F.array(F.struct((s["at"] + m["gap"]).alias("start"), F.lit(rank).alias("rank"), (s["at"] + m["gap"] + m["size"]).alias("end"), m["value"].alias("value")))),
+            ).otherwise(s["out"]).alias("out"),
+        ),
+        lambda s: s["out"],
+    )
+    return F.when(F.size(whole) > 0, walked).otherwise(zero["out"])
+
+
+def _listed(spans: Column) -> Column:
+    names = F.array(*(F.lit(k) for k in KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, copied: int = COPIED_OWNERS) -> DataFrame:
+    """One row per row of ``docs``: the id, counts and digest of base findings, all spans, and the method's verdicts.
+
+    ``spans`` lists base findings and the vendor keys that fewer than ``copied`` owners have; ``n_live`` and
+    ``n_copied`` count the values listed or left out by the owners that have them. Owner defaults to
+    ``source`` and repository to source and language; rows with a null owner count as an owner of their
+    own. A null or empty text has no findings; repeated rows stay, each with its own spans; an empty table
+    gives an empty one; other columns are ignored. Texts are scanned once, and only findings go on.
+    """
+    by = F.col("source").cast("string") if owner is None else owner
+    of = F.concat_ws("/", F.coalesce(by, F.lit("?")), F.col("lang").cast("string")) if repository is None else repository
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(by, F.lit("?")).alias("owner"), F.coalesce(of, F.lit("?")).alias("repo"), text.alias("text"))
+    base = F.concat(*(_found(F.col("text"), k, p, g, n) for k, (_, p, g, n) in enumerate(BASE)))
+    more = F.concat(*(_found(F.col("text"), k + len(BASE), p, g, n) for k, (_, p, g, n) in enumerate(VENDOR)))
+    hashed = lambda spans: F.transform(F.sort_array(spans), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.xxhash64(s["value"], F.lit(3)).alias("value")))
+    slim = keyed.select("id", "owner", "repo", hashed(base).alias("base"), hashed(more).alias("more"))
+    slim = cut(slim.withColumn("row", F.monotonically_increasing_id()))
+    every = slim.select("row", "owner", "repo", F.explode(F.concat("base", "more")).alias("s")).select("row", "owner", "repo", F.col("s.value").alias("value"))
+    # repositories and owners of a value: one row each after partial aggregation, however often it occurs
+    homes = every.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("one").alias("repos"))
+    spread = homes.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    wide = cut(spread.filter(F.col("owners") >= copied))
+    marked = every.select("row", "value").distinct().join(small(wide), "value").groupBy("row").agg(F.collect_set("value").alias("copies"))
+    joined = slim.join(marked, "row", "left").withColumn("copies", F.coalesce("copies", F.array().cast("array<long>")))
+    live = F.filter("more", lambda s: ~F.array_contains(F.col("copies"), s["value"]))
+    spans = F.sort_array(F.concat("base", live))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    values = F.array_distinct(F.transform(F.concat("base", "more"), lambda s: s["value"]))
+    n_copied = F.size(F.array_intersect(values, F.col("copies"))).cast("long")
+    return joined.select(
+        F.col("id").alias(id_col), *(count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)),
+        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(spans).alias("spans"),
+        (F.size(values).cast("long") - n_copied).alias("n_live"), n_copied.alias("n_copied"),
+    )
