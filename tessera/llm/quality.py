@@ -135,7 +135,7 @@ def fit(labelled: DataFrame) -> Model:
                 sums[k] += one[label == k].T @ one[label == k]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["at", "n"])
 
-    parts = labelled.select("stats", F.col("label").cast("int").alias("label")).mapInArrow(run, "at int, n long")
+    parts = labelled.select("stats", F.col("label").cast("int").alias("label")).mapInArrow(run, "at long, n long")
     total = np.zeros(2 * (p + 1) ** 2, dtype=object)
     for r in parts.groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect():
         total[r["at"]] = int(r.n)
