@@ -52,9 +52,8 @@ class Index:
     1 + ln(items / items that have it), times its repeats.
     """
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int] | None = None, total: int = 0):
+    def __init__(self, items: list[tuple[int, str]]):
         self.vocab: dict[bytes, int] = {}
-        self.items: list[tuple[int, Counter]] = []
         rows = []
         for item, text in items:
             words = words_of(text or "")
@@ -66,16 +65,14 @@ class Index:
         self.known = np.array(sorted(spread), np.uint64)
         self.known_weight = np.array([self.weight[h] for h in self.known.tolist()])
         self.other_weight = 1.0 + math.log(max(len(made), 1))  # a shingle of no item
-        self.sizes = sorted({n for _, n, _ in made})
-        self.blocks: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for k, (item, n, hs) in enumerate(made):
-            self.items.append((item, Counter(hs.tolist())))
-            print_ = self._prints(hs, np.array([0]), n)[0]
-            for b, v in enumerate(np.array([print_], np.uint64).view(np.uint8).tolist()):
-                for near in _near_bytes(v):
-                    self.blocks[b].setdefault(near, []).append(k)
-        self.arrays = [{v: np.array(ks, np.int32) for v, ks in block.items()} for block in self.blocks]
-        self.prints = np.array([self._prints(hs, np.array([0]), n)[0] for _, n, hs in made], np.uint64)
+        self.items = [(item, Counter(hs.tolist())) for item, _, hs in made]
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        near = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= BLOCK_RADIUS
+        for n in sorted({n for _, n, _ in made}):
+            own = np.array([k for k, m in enumerate(made) if m[1] == n])
+            prints = np.array([self._prints(self._sums(made[k][2]), np.array([0]), n)[0] for k in own], np.uint64)
+            # for each block and byte, which items have a byte within BLOCK_RADIUS there
+            self.sizes[n] = own, prints, near[prints.view(np.uint8).reshape(-1, BLOCKS).T].transpose(0, 2, 1).copy()
 
     def _id(self, word: bytes) -> int:
         return self.vocab.setdefault(word, xxhash.xxh64_intdigest(word, 5) | 1)
@@ -84,11 +81,15 @@ class Index:
         at = np.searchsorted(self.known, hashes).clip(max=max(len(self.known) - 1, 0))
         return np.where(self.known[at] == hashes, self.known_weight[at], self.other_weight)
 
-    def _prints(self, hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """Fingerprints of the windows of ``n`` words from ``starts``: a bit is set if over half the weight sets it."""
+    def _sums(self, hashes: np.ndarray) -> np.ndarray:
+        """Running sums over shingles of the weight that sets each bit less the weight that doesn't."""
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total = np.zeros((len(hashes) + 1, 64))
         np.cumsum((2.0 * bits - 1.0) * self._weights(hashes)[:, None], axis=0, out=total[1:])
+        return total
+
+    def _prints(self, total: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """Fingerprints of the windows of ``n`` words from ``starts``: a bit is set if over half the weight sets it."""
         signs = (total[starts + n - SHINGLE + 1] - total[starts]) > 1e-9
         return np.packbits(signs, axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -117,38 +118,44 @@ class Index:
             ids[k] = xxhash.xxh64_intdigest(words[k], 5) | 1
         all_hashes = _shingle_hashes(ids)
         best: dict[int, tuple[float, int, int]] = {}
-        longest = self.sizes[-1]
+        longest = max(self.sizes)
         # stretches of the text in which hits are closer than a window
-        cuts = np.flatnonzero(np.diff(hits) > longest) + 1
-        for stretch in np.split(hits, cuts):
+        for stretch in np.split(hits, np.flatnonzero(np.diff(hits) > longest) + 1):
             lo = max(0, int(stretch[0]) + SHINGLE - longest)
             hi = min(len(words), int(stretch[-1]) + longest)
+            hashes = all_hashes[lo : hi - SHINGLE + 1]
+            weight = self._weights(hashes)
+            hit = np.zeros(len(hashes))
+            hit[stretch - lo] = weight[stretch - lo]
+            every, known = np.append(0, np.cumsum(weight)), np.append(0, np.cumsum(hit))
+            total = None
             for n in self.sizes:
-                if hi - lo >= n:
-                    self._verify(all_hashes, stretch, lo, hi, n, least, best)
+                starts = np.arange(max(0, hi - lo - n + 1))
+                # what a window shares with an item is at least ``least`` of its own weight
+                ends = starts + n - SHINGLE + 1
+                starts = starts[known[ends] - known[starts] >= least * (every[ends] - every[starts]) - 1e-9]
+                if len(starts):
+                    total = self._sums(hashes) if total is None else total
+                    self._verify(hashes, total, starts, lo, n, least, best)
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
-    def _verify(self, hashes: np.ndarray, hits: np.ndarray, lo: int, hi: int, n: int, least: float, best: dict) -> None:
-        starts = np.arange(lo, hi - n + 1)
-        # a similar window holds at least least / (1 + least) of its shingles from the item; one hit is needed
-        has = np.searchsorted(hits, starts + n - SHINGLE, "right") > np.searchsorted(hits, starts, "left")
-        starts = starts[has]
-        if not len(starts):
-            return
-        prints = self._prints(hashes[lo : hi - SHINGLE + 1], starts - lo, n)
-        for s, p in zip(starts.tolist(), prints, strict=True):
-            found = [a for b, v in enumerate(p.reshape(1).view(np.uint8).tolist()) if (a := self.arrays[b].get(v)) is not None]
-            if not found:
-                continue
-            ks = np.unique(np.concatenate(found))
-            ks = ks[np.bitwise_count(self.prints[ks] ^ p) <= RADIUS]
-            if not len(ks):
-                continue
-            own = Counter(hashes[s : s + n - SHINGLE + 1].tolist())
-            for k in ks.tolist():
-                score = self._similarity(own, self.items[k][1])
-                if score >= least and (k not in best or score > best[k][0]):
-                    best[k] = (score, s, n)
+    def _verify(self, hashes: np.ndarray, total: np.ndarray, starts: np.ndarray, lo: int, n: int, least: float, best: dict) -> None:
+        """Probes the items of ``n`` words with the windows from ``starts`` and verifies candidates."""
+        own, prints, near = self.sizes[n]
+        made = self._prints(total, starts, n)
+        blocks = made.view(np.uint8).reshape(-1, BLOCKS)
+        candidate = np.zeros((len(made), len(own)), bool)
+        for b in range(BLOCKS):
+            candidate |= near[b][blocks[:, b]]
+        at, which = np.nonzero(candidate)
+        within = np.bitwise_count(made[at] ^ prints[which]) <= RADIUS
+        counted: dict[int, Counter] = {}
+        for s, k in zip(starts[at[within]].tolist(), own[which[within]].tolist(), strict=True):
+            if s not in counted:
+                counted[s] = Counter(hashes[s : s + n - SHINGLE + 1].tolist())
+            score = self._similarity(counted[s], self.items[k][1])
+            if score >= least and (k not in best or score > best[k][0]):
+                best[k] = (score, lo + s, n)
 
     def _similarity(self, a: Counter, b: Counter) -> float:
         w, other = self.weight, self.other_weight
@@ -157,10 +164,6 @@ class Index:
         return both / (total - both)
 
 
-def _near_bytes(v: int) -> list[int]:
-    return [x for x in range(256) if (x ^ v).bit_count() <= BLOCK_RADIUS]
-
-
 def passes(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """Indexes over bounded blocks of the items, one at a time on the driver; null ids are left out."""
     keyed = items.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
