@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, mixing, quality, repetition, secrets, shards, simhash, tokens, toxicity
+from tessera.llm import chat, decontaminate, mixing, quality, repetition, secret_scan, shards, simhash, tokens, toxicity
 from tessera.llm.common import read
 
 #: The tokenizer that op7 and the pipeline's last stage use.
@@ -42,7 +42,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read(spark, sf_dir, "documents"))
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
