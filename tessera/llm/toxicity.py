@@ -28,7 +28,7 @@ from tessera.llm.quality import held_out, training_labels
 DECAY, REACH = 0.6, 5
 #: Bounds of what is learned from: labelled documents of each class (taken by hash of the id, up to so many
 #: characters long), strings of each class, landmarks.
-MAX_DOCS, MAX_CHARS, MAX_STRINGS, LANDMARKS = 3000, 20_000, 3000, 256
+MAX_DOCS, MAX_CHARS, MAX_STRINGS, LANDMARKS = 2500, 20_000, 2500, 256
 #: Folds of the ids that no label is learned from: crc32 of the id, modulo and remainder.
 FOLDS, FOLD = 3, 1
 THRESHOLD = 0.7
@@ -55,7 +55,7 @@ def _is_single(word: bytes) -> bool:
     return len(word) == 1 or (len(word) == 2 and word[0] > 0xC1)
 
 
-def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def subsequences(words: list[bytes], gaps: list = _GAPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String number, code and weight of each subsequence of each string."""
     text = b"\x01" + b"\x01\n\x01".join(words) + b"\x01"
     points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -68,7 +68,7 @@ def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     word = np.cumsum(ends)
     n = len(symbol)
     numbers, codes, weights = [], [], []
-    for a, b, c, w in _GAPS:
+    for a, b, c, w in gaps:
         if n <= c:
             continue
         inside = np.flatnonzero((word[: n - c] == word[c:]) & ~ends[: n - c])
@@ -141,6 +141,8 @@ class Model:
 
     def raw(self, words: list[bytes]) -> np.ndarray:
         """Decision values of strings; a string without a positive sum has the bias."""
+        if len(words) > 20_000:
+            return np.concatenate([self.raw(words[k : k + 20_000]) for k in range(0, len(words), 20_000)])
         number, code, weight = subsequences(words)
         total = np.bincount(number, self.table[code] * weight, len(words))
         up = np.flatnonzero(total > 0)
@@ -204,11 +206,8 @@ def _telling(every: list[bytes], toxic: list[set[bytes]], clean: list[set[bytes]
 
     By twice the log-likelihood ratio, which must beat that of nearly all of as many runs without meaning.
     """
-    number, code, weight = subsequences(every)
-    number, code = number[weight == 1.0], code[weight == 1.0]
+    number, code, _ = subsequences(every, _GAPS[:1])
     names, code = np.unique(code, return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    number, code = number[order], code[order]
     parts = np.split(code, np.searchsorted(number, np.arange(1, len(every))))
     of = dict(zip(every, parts, strict=True))
     counts = []
@@ -269,8 +268,8 @@ class Scorer:
         if len(self.harmless) + len(new) > CACHE:
             self.harmless.clear()
             new = sorted(set().union(*own) - self.known)
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
             value = self.model.raw(part)
             up = value > self.model.bias
             self.bad.update((part[i], float(value[i])) for i in np.flatnonzero(up).tolist())
@@ -297,10 +296,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "label", "strings"])
 
     rows = texts.mapInArrow(run, texts.select("id", "label").schema.add("strings", "binary"))
-    got = []
+    got: list[tuple[set[bytes], int]] = []
+    shared: dict[bytes, bytes] = {}  # one object for each string
     for k in (0, 1):
         part = rows.filter(F.col("label") == k).orderBy(F.xxhash64("id", F.lit(11)), "id", "strings").limit(MAX_DOCS)
-        got += [(set(bytes(r.strings).split(b"\n")) - {b""}, k) for r in part.collect()]
+        got += [({shared.setdefault(w, w) for w in bytes(r.strings).split(b"\n") if w}, k) for r in part.toLocalIterator()]
     return fit(got)
 
 
