@@ -1,7 +1,7 @@
 """Token ids as Parquet list columns that allow selective reads.
 
 Layout, one folder: part files in ascending id order (nulls first), each row with the part's number, the
-row's place and first token within the part (delta encoded), the document's id and its token ids
+row's place, first token and number of tokens within the part (delta encoded), the document's id and its token ids
 (dictionary encoded, then compressed). Row groups and pages are kept small and Parquet's page index gives
 their bounds, so a reader can take metadata alone, or the ids of a few documents.
 """
@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from tessera.llm.common import new_path
 #: Parquet settings: format with delta encodings, dictionary for the ids alone, small row groups and pages.
 LAYOUT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(256 << 10),
@@ -32,9 +34,11 @@ LAYOUT = {
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#pos": "false",
     "parquet.enable.dictionary#part_start": "false",
+    "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Pieces that one Python worker keeps the ids of; results don't depend on it.
-CACHE = 300_000
+#: Pieces that one Python worker keeps the ids of, and the length (characters) up to which some stay when there are
+#: more; results don't depend on them.
+CACHE, SHORT = 600_000, 7
 _loaded: dict[str, Encoder] = {}
 
 
@@ -68,47 +72,66 @@ class Encoder:
         self.mark, self.mark_id = (added[0], self.tokenizer.token_to_id(added[0])) if added else ("", -1)
         self.by_piece &= bool(self.mark)
         self.kept: dict[str, bytes] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        known = [self._whole(x) for x in ("a\n b", "a", "\n", " b")]
+        self.line_id = line[0] if len(line) == 1 and known[0] == b"".join(known[1:]) else -1
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _joined(self, pieces: list[str], between: str, mark: int) -> dict[str, bytes]:
+        """The ids of each piece after a space; one call encodes many pieces with ``between`` between them."""
+        out: dict[str, bytes] = {}
+        for k in range(0, len(pieces), 500):
+            part = pieces[k : k + 500]
+            text = f" {f'{between} '.join(part)}"
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
+            raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 4)
+            out.update(zip(part, [raw[a:e] for a, e in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+        return out
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of each piece after a space; one call encodes many pieces with the mark between them."""
-        own = [p for p in pieces if self.mark not in p]
-        out = {p: self._whole(f" {p}") for p in pieces if self.mark in p}
-        for k in range(0, len(own), 2000):
-            part = own[k : k + 2000]
-            ids = np.array(
-                self.tokenizer.encode(self.mark.join(f" {p}" for p in part), add_special_tokens=False).ids, "<u4"
-            )
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
-            raw, at = ids.tobytes(), 0
-            for p, e in zip(part, ends, strict=True):
-                out[p] = raw[4 * at : 4 * e]
-                at = e + 1
+        """The ids of each piece after a space.
+
+        A new line alone between printable pieces (no white space) is a token of its own, and quicker than a
+        special token, which other pieces get between them; pieces with that string are encoded alone.
+        """
+        plain = [p for p in pieces if p.isprintable() and p] if self.line_id >= 0 else []
+        if self.mark in "\n".join(plain):
+            plain = []
+        out = self._joined(plain, "\n", self.line_id)
+        odd = [p for p in pieces if p not in out]
+        out |= self._joined([p for p in odd if self.mark not in p], self.mark, self.mark_id)
+        out.update((p, self._whole(f" {p}")) for p in odd if self.mark in p)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_piece:
             return [self._whole(t) for t in texts]
-        out = []
-        for text in texts:
-            if _SPACED.search(text):
-                out.append(self._whole(text))
-                continue
-            first, *pieces = text.split(" ")
-            kept = self.kept
-            need = set(pieces).difference(kept)
-            if need:
-                extra = self._learn(sorted(need))
-                if len(kept) + len(extra) > CACHE:
+        kept, out = self.kept, []
+        for k in range(0, len(texts), 16):
+            part = [None if _SPACED.search(t) else t.split(" ") for t in texts[k : k + 16]]
+            pieces = list(chain.from_iterable(s[1:] for s in part if s))
+            ids = list(map(kept.get, pieces))
+            if None in ids:
+                lacking = [i for i, v in enumerate(ids) if v is None]
+                extra = self._learn(list(dict.fromkeys(map(pieces.__getitem__, lacking))))
+                for i in lacking:
+                    ids[i] = extra[pieces[i]]
+                if len(kept) + len(extra) > CACHE:  # short pieces are the likelier to come again
+                    short = [(p, b) for p, b in kept.items() if len(p) <= SHORT][: CACHE // 2]
                     kept.clear()
-                    extra |= self._learn(sorted(set(pieces).difference(extra)))
+                    kept.update(short)
                 kept.update(extra)
-            out.append((self._whole(first) if first else b"") + b"".join(map(kept.__getitem__, pieces)))
-            if len(kept) > CACHE:
-                kept.clear()
+            at = 0
+            for t, s in zip(texts[k : k + 16], part, strict=True):
+                if s is None:
+                    out.append(self._whole(t))
+                else:
+                    out.append((self._whole(s[0]) if s[0] else b"") + b"".join(ids[at : at + len(s) - 1]))
+                    at += len(s) - 1
         return out
 
 
@@ -134,8 +157,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     spark = docs.sparkSession
     out = out or new_path(spark, "tokens")
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = keyed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ranged = ranged.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +170,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 starts = start + np.append(0, ends[:-1]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(2), pa.array(np.arange(pos, pos + len(ids))), pa.array(starts), b.column(0), lists],
-                    names=["part", "pos", "part_start", "doc_id", "ids"],
+                    [b.column(2), pa.array(np.arange(pos, pos + len(ids))), pa.array(starts), pa.array(np.diff(ends, prepend=0).astype(np.int64)), b.column(0), lists],
+                    names=["part", "pos", "part_start", "n_tokens", "doc_id", "ids"],
                 )
                 pos, start = pos + len(ids), start + int(ends[-1])
 
-    schema = "part int, pos long, part_start long, doc_id long, ids array<int>"
+    schema = "part int, pos long, part_start long, n_tokens long, doc_id long, ids array<int>"
     ranged.mapInArrow(run, schema).write.options(**LAYOUT).parquet(out)
     return out
 
@@ -164,15 +186,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     Column pruning leaves the ids' pages unread where only metadata is asked for.
     """
     stored = spark.read.parquet(path)
-    last = F.max_by(F.struct("part_start", F.size("ids").alias("n")), "pos")
-    parts = stored.groupBy("part").agg(last.alias("last")).select("part", (F.col("last.part_start") + F.col("last.n")).alias("total"))
+    last = F.max_by(F.struct("part_start", "n_tokens"), "pos")
+    parts = stored.groupBy("part").agg(last.alias("last")).select("part", (F.col("last.part_start") + F.col("last.n_tokens")).alias("total"))
     before, at = [], 0
     for r in sorted(parts.collect()):  # one row a part file
         before.append((r.part, at))
         at += r.total
     index = spark.createDataFrame(before, "part int, before long") if before else spark.range(0).selectExpr("int(id) part", "id before")
     return stored.join(F.broadcast(index), "part").select(
-        "doc_id", (F.col("before") + F.col("part_start")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids"
+        "doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids"
     )
 
 
