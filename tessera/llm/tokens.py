@@ -1,8 +1,8 @@
 """Token ids as Parquet list columns that allow selective reads.
 
 Layout, one folder: part files in ascending id order (nulls first), each row with the part's number, the
-row's place, first token and number of tokens within the part (delta encoded), the document's id and its token ids
-(dictionary encoded, then compressed). Row groups and pages are kept small and Parquet's page index gives
+row's place and first token within the part, the document's number of tokens, id and token ids, all delta
+encoded. Row groups and pages are kept small and Parquet's page index gives
 their bounds, so a reader can take metadata alone, or the ids of a few documents.
 """
 
@@ -21,33 +21,27 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import new_path
 
-#: Parquet settings: format with delta encodings, dictionary for the ids alone, small row groups and pages.
+#: Parquet settings: delta encoding of all columns, small row groups and pages; the format has page indexes by itself.
 LAYOUT = {
-    "compression": "zstd",
-    "parquet.compression.codec.zstd.level": "1",
+    "compression": "snappy",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
-    "parquet.dictionary.page.size": str(2 << 20),
-    "parquet.enable.dictionary": "true",
-    "parquet.enable.dictionary#doc_id": "false",
-    "parquet.enable.dictionary#pos": "false",
-    "parquet.enable.dictionary#part_start": "false",
-    "parquet.enable.dictionary#n_tokens": "false",
+    "parquet.enable.dictionary": "false",
 }
 #: Pieces that one Python worker keeps the ids of, and the length (characters) up to which some stay when there are
 #: more; results don't depend on them.
-CACHE, SHORT = 600_000, 7
+CACHE, SHORT = 900_000, 7
 _loaded: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Encodes texts with a tokenizers file, reusing the ids of pieces between spaces.
 
-    A byte-level pre-tokenizer never joins a character that isn't white space to a space after it, so a
-    text cut before its spaces encodes to the pieces' ids in a row, as long as no space follows other
-    white space. Other texts, and tokenizers of another kind, are encoded whole.
+    A byte-level pre-tokenizer never joins a character that isn't white space to a space or new line after
+    it, so a text cut before these encodes to the pieces' ids in a row, as long as they stand alone (or are
+    two new lines). Other texts, and tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -69,41 +63,43 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in made.get("added_tokens") or [])
             and (made.get("model") or {}).get("dropout") is None
         )
-        self.mark, self.mark_id = (added[0], self.tokenizer.token_to_id(added[0])) if added else ("", -1)
-        self.by_piece &= bool(self.mark)
-        self.kept: dict[str, bytes] = {}
+        self.added, self.kept = added, {}
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        known = [self._whole(x) for x in ("a\n b", "a", "\n", " b")]
-        self.line_id = line[0] if len(line) == 1 and known[0] == b"".join(known[1:]) else -1
+        alone = [self._whole(x) for x in ("a\n b", "a", "\n", " b")] + [self._whole(x) for x in ("a\nb", "b", "\n\nb")]
+        self.line, self.line_id = alone[2], line[0] if line else -1
+        self.by_piece &= len(line) == 1 and alone[0] == b"".join(alone[1:4])
+        self.by_piece &= alone[4] == alone[1] + alone[2] + alone[5] and alone[6] == 2 * alone[2] + alone[5]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _joined(self, pieces: list[str], between: str, mark: int) -> dict[str, bytes]:
-        """The ids of each piece after a space; one call encodes many pieces with ``between`` between them."""
+    def _joined(self, pieces: list[str], lead: str) -> dict[str, bytes]:
+        """The ids of each printable piece after ``lead``; one call encodes many, a new line between them.
+
+        A new line alone between characters other than white space, or before a space, is a token of its own.
+        """
         out: dict[str, bytes] = {}
         for k in range(0, len(pieces), 500):
             part = pieces[k : k + 500]
-            text = f" {f'{between} '.join(part)}"
+            text = lead + f"\n{lead}".join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
+            ends = np.append(np.flatnonzero(ids == self.line_id), len(ids)) * 4
             raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 4)
             out.update(zip(part, [raw[a:e] for a, e in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
         return out
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of each piece after a space.
-
-        A new line alone between printable pieces (no white space) is a token of its own, and quicker than a
-        special token, which other pieces get between them; pieces with that string are encoded alone.
-        """
-        plain = [p for p in pieces if p.isprintable() and p] if self.line_id >= 0 else []
-        if self.mark in "\n".join(plain):
-            plain = []
-        out = self._joined(plain, "\n", self.line_id)
-        odd = [p for p in pieces if p not in out]
-        out |= self._joined([p for p in odd if self.mark not in p], self.mark, self.mark_id)
-        out.update((p, self._whole(f" {p}")) for p in odd if self.mark in p)
+        """The ids of each piece: after a space, or, where it begins with LINE, after a new line."""
+        out: dict[str, bytes] = {}
+        after = [p[1:] for p in pieces if p[:1] == LINE and p[1:].isprintable() and len(p) > 1]
+        plain = [p for p in pieces if p.isprintable() and p]
+        if any(m in text for text in ("\n".join(after), "\n".join(plain)) for m in self.added):
+            after, plain = [], []  # a special token's string is among them: one by one
+        out.update((LINE + p, self.line + ids) for p, ids in self._joined(after, "").items())
+        out |= self._joined(plain, " ")
+        for p in pieces:
+            if p not in out:
+                out[p] = self._whole("\n" + p[1:] if p[:1] == LINE else f" {p}")
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -112,8 +108,8 @@ class Encoder:
             return [self._whole(t) for t in texts]
         kept, out = self.kept, []
         for k in range(0, len(texts), 16):
-            part = [None if _SPACED.search(t) else t.split(" ") for t in texts[k : k + 16]]
-            pieces = list(chain.from_iterable(s[1:] for s in part if s))
+            part = [None if _whole_only(t) else f"{LINE}{t}".replace("\n", LINED).split(" ") for t in texts[k : k + 16]]
+            pieces = list(chain.from_iterable(s for s in part if s))
             ids = list(map(kept.get, pieces))
             if None in ids:
                 lacking = [i for i, v in enumerate(ids) if v is None]
@@ -130,13 +126,23 @@ class Encoder:
                 if s is None:
                     out.append(self._whole(t))
                 else:
-                    out.append((self._whole(s[0]) if s[0] else b"") + b"".join(ids[at : at + len(s) - 1]))
-                    at += len(s) - 1
+                    out.append(b"".join(ids[at : at + len(s)])[4:])  # a text begins as if after a new line
+                    at += len(s)
         return out
 
 
-#: White space before a space: such a text is not cut.
-_SPACED = re.compile(r"\s ")
+#: Texts that are not cut: white space before a space, or other than a new line before a new line, three new lines, two
+#: at the end, or the character that stands for a new line in pieces.
+_SPACED = re.compile(r"\s |[^\S\n]\n|\n\n(?:\n|\Z)|\x00")
+LINE = "\x00"
+LINED = f" {LINE}"
+
+
+def _whole_only(text: str) -> bool:
+    """Whether ``_SPACED`` finds something; most texts need no search."""
+    if "  " in text or "\n " in text or " \n" in text or "\n\n\n" in text or text.endswith("\n\n"):
+        return True
+    return not text.replace("\n", " ").isprintable() and _SPACED.search(text) is not None
 
 
 def encoder(path: str) -> Encoder:
