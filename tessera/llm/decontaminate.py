@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import slices
+
 SHINGLE, SIMILARITY = 5, 0.8
 #: A similarity of 0.8 puts fingerprints about 10 bits apart, with a deviation of 3; 3 * 8 - 1 is the most that blocks within 2 bits guarantee.
 BLOCKS, BLOCK_RADIUS = 8, 2
@@ -194,7 +196,7 @@ def contaminations(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 rows = [(k, *m) for k, t in enumerate(b.column(1).to_pylist()) for m in sent.value.matches(t, similarity)]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 arrays = [b.column(0).take(at), *(pa.array([r[c] for r in rows], kind) for c, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))]
@@ -212,7 +214,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 yield b.filter(pa.array([not (t and sent.value.matches(t, similarity)) for t in texts], pa.bool_()))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, free_name
+from tessera.llm.common import cut, free_name, slices
 
 #: Share of the pooled covariance in a class's, then of the mean variance times identity.
 POOLED, RIDGE = 0.2, 0.001
@@ -104,7 +104,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = slim.drop(name).schema.add(name, T.ArrayType(T.LongType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = rounded(b.column(b.num_columns - 1).to_pylist())
             at = np.arange(len(made) + 1, dtype=np.int32) * len(NAMES)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(at), pa.array(made.ravel()))], names=[*rest, name])
@@ -201,7 +201,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(measured(keyed.join(known, "id")).select("stats", "label"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
             yield b.filter(pa.array(model.score(rounded(texts) / SCALE) >= threshold))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name
+from tessera.llm.common import free_name, slices
 
 #: Words from which a maximal repeat counts; the most of the words that such repeats may cover, and the
 #: longest one allowed (words).
@@ -112,7 +112,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", least: int = MIN_REPE
         schema = schema.add(c, "boolean")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = np.array([measure(t or b"", least) for t in b.column(b.num_columns - 1).to_pylist()], np.int64).reshape(-1, 7)
             base, kept = verdict(made[:, 0], made[:, 4], made[:, 5], made[:, 6], max_covered, max_repeat)
             arrays = [*b.columns[:-1], *(pa.array(made[:, k].copy()) for k in range(7)), pa.array(base), pa.array(kept)]

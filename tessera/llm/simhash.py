@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, free_name, small
+from tessera.llm.common import cut, free_name, slices, small
 from tessera.llm.components import components
 
 BITS = 64
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4, seed:
     schema = slim.drop(name).schema.add(name, "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = np.array([fingerprint(t or b"", words, seed) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made.view(np.int64))], names=[*rest, name])
 

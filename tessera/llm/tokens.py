@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, slices
 
 #: Parquet settings: delta encoding of all columns, small row groups and pages; the format has page indexes by itself.
 LAYOUT = {
@@ -32,7 +32,7 @@ LAYOUT = {
 }
 #: Pieces that one Python worker keeps the ids of, and the length (characters) up to which some stay when there are
 #: more; results don't depend on them.
-CACHE, SHORT = 900_000, 7
+CACHE, SHORT = 700_000, 7
 _loaded: dict[str, Encoder] = {}
 
 
@@ -168,18 +168,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, pos, start = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0, 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ids = [x + end for x in coder.encode(b.column(1).to_pylist())]
-                ends = np.cumsum([len(x) // 4 for x in ids])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                starts = start + np.append(0, ends[:-1]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(2), pa.array(np.arange(pos, pos + len(ids))), pa.array(starts), pa.array(np.diff(ends, prepend=0).astype(np.int64)), b.column(0), lists],
-                    names=["part", "pos", "part_start", "n_tokens", "doc_id", "ids"],
-                )
-                pos, start = pos + len(ids), start + int(ends[-1])
+        for b in slices(batches):
+            ids = [x + end for x in coder.encode(b.column(1).to_pylist())]
+            ends = np.cumsum([len(x) // 4 for x in ids])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            starts = start + np.append(0, ends[:-1]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(2), pa.array(np.arange(pos, pos + len(ids))), pa.array(starts), pa.array(np.diff(ends, prepend=0).astype(np.int64)), b.column(0), lists],
+                names=["part", "pos", "part_start", "n_tokens", "doc_id", "ids"],
+            )
+            pos, start = pos + len(ids), start + int(ends[-1])
 
     schema = "part int, pos long, part_start long, n_tokens long, doc_id long, ids array<int>"
     ranged.mapInArrow(run, schema).write.options(**LAYOUT).parquet(out)

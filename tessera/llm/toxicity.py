@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import slices
 from tessera.llm.quality import held_out, training_labels
 
 DECAY, REACH = 0.6, 5
@@ -291,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = keyed.join(picked, "id").filter(F.length("text").between(1, MAX_CHARS)).select("id", "label", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = [b"\n".join(sorted(strings_of(t))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "label", "strings"])
 
@@ -316,11 +317,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                score = scorer.score(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
+        for b in slices(batches, 512):
+            score = scorer.score(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
     made = keyed.mapInArrow(run, keyed.select("id").schema.add("score", "double").add("predicted", "integer"))
     return made.select(F.col("id").alias(id_col), held_out("id", FOLDS, FOLD).alias("held_out"), "score", "predicted")
