@@ -54,6 +54,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

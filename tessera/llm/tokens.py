@@ -32,7 +32,7 @@ LAYOUT = {
 }
 #: Pieces that one Python worker keeps the ids of, and the length (characters) up to which some stay when there are
 #: more; results don't depend on them.
-CACHE, SHORT = 700_000, 7
+CACHE, SHORT = 500_000, 7
 _loaded: dict[str, Encoder] = {}
 
 
