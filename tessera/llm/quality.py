@@ -118,7 +118,7 @@ def rounded(texts: list[bytes | None]) -> np.ndarray:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model of ``labelled``: stats (or binary texts) and label, 0 or 1; adds up sums and products over all rows.
+    """A model of ``labelled(stats, label)``, label 0 or 1; adds up sums and products over all rows.
 
     Without rows of both classes every score is the share of label 1 (0.5 without any row).
     """
@@ -126,16 +126,15 @@ def fit(labelled: DataFrame) -> Model:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, p + 1, p + 1), np.int64)  # with a constant 1 before: counts, sums, products
-        for b in slices(batches):
-            x = b.column(0)
-            x = rounded(x.to_pylist()) if pa.types.is_binary(x.type) else x.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
             one = np.hstack([np.ones((len(x), 1), np.int64), x])
             label = b.column(1).to_numpy(zero_copy_only=False)
             for k in (0, 1):
                 sums[k] += one[label == k].T @ one[label == k]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["at", "n"])
 
-    parts = labelled.select(labelled.columns[0], F.col("label").cast("int").alias("label")).mapInArrow(run, "at long, n long")
+    parts = labelled.select("stats", F.col("label").cast("int").alias("label")).mapInArrow(run, "at long, n long")
     total = np.zeros(2 * (p + 1) ** 2, dtype=object)
     for r in parts.groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect():
         total[r["at"]] = int(r.n)
@@ -167,9 +166,9 @@ def training_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id", f
     return own.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.min(F.col(f"`{label_col}`").cast("int")).alias("label"))
 
 
-def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Model:
-    """A model of ``stats(id, stats)`` with the labels that may be learned from."""
-    known = training_labels(labels, label_col, id_col)
+def train(stats: DataFrame, labels: DataFrame) -> Model:
+    """A model of ``stats(id, stats)`` with those of ``labels(doc_id, quality)`` that may be learned from."""
+    known = training_labels(labels, "quality")
     return fit(stats.join(known, "id").select("stats", "label"))
 
 
@@ -181,7 +180,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     stats = cut(measured(keyed))
-    model = train(stats, labels, id_col=id_col)
+    model = train(stats, labels)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,8 +196,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows scored under ``threshold``; columns as they were."""
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    known = training_labels(labels, "quality", id_col)
-    model = fit(keyed.join(known, "id").select(F.col("text").cast("binary").alias("text"), "label"))
+    model = train(cut(measured(keyed)), labels)  # statistics are joined to labels, not texts
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
