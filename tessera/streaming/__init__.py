@@ -1,0 +1 @@
+"""Nothing to stream: the dialect has no event time, windows or state. Results are pulled lazily by cursors."""
