@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small
+from tessera.llm.common import cut, free_name, small
 
 #: Hash bits that each level of the histogram splits by; five levels cover the 60 bits.
 LEVEL_BITS, LEVELS = 12, 5
@@ -121,8 +121,9 @@ def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, **args) -> DataFrame:
     """``docs`` as the mix has them: each row once for each copy taken; columns as they were."""
     _, plan = mix(docs, id_col=id_col, source_col=source_col, seed=seed, **args)
-    own = plan.select(F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"), F.col("below").alias("_mix_below"))
-    times = F.col("_mix_copies") + (row_hash(F.col(f"`{id_col}`"), seed) < F.col("_mix_below")).cast("int")
-    joined = docs.join(small(own), F.col(f"`{source_col}`").eqNullSafe(F.col("_mix_source")))
-    wide = joined.withColumn("_mix_times", times).filter("_mix_times > 0").withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    of, copies, below, nth = (free_name(docs, c) for c in ("mix_source", "mix_copies", "mix_below", "mix_nth"))
+    own = plan.select(F.col("source").alias(of), F.col("copies").alias(copies), F.col("below").alias(below))
+    times = F.col(copies) + (row_hash(F.col(f"`{id_col}`"), seed) < F.col(below)).cast("int")
+    joined = docs.join(small(own), F.col(f"`{source_col}`").eqNullSafe(F.col(of)))
+    wide = joined.withColumn(copies, times).filter(F.col(copies) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return wide.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -253,6 +253,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = small(cut(near_groups(prints, "fingerprint", radius)))
     rooted = of.join(groups, F.col("fingerprint") == F.col("fp"), "left")
     stay = rooted.groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("first.id").alias("_stay_id"), F.col("first.h").alias("_stay_h"))
-    kept = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay_id")) & (F.col(mark) == F.col("_stay_h")), "left_semi")
+    stay_id, stay_h = free_name(keyed, "stay_id"), free_name(keyed, "stay_hash")
+    stay = stay.select(F.col("first.id").alias(stay_id), F.col("first.h").alias(stay_h))
+    kept = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)) & (F.col(mark) == F.col(stay_h)), "left_semi")
     return kept.dropDuplicates([id_col, mark]).select(*(F.col(f"`{c}`") for c in docs.columns))
