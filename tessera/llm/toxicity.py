@@ -2,11 +2,11 @@
 
 The strings are the words of sentences, in lower case, without ASCII punctuation inside and with runs of
 single letters joined, between two end marks. The kernel counts common subsequences of 4 characters that
-lie within 6, each weighted by DECAY for every character skipped, and is normalised; an insult with
-characters inserted or a new ending still shares most of them. Labels are of documents: the sentences of a
+lie within 6 and of 6 that lie within 7, each weighted by DECAY for every character skipped, and is
+normalised; an insult with characters inserted or a new ending still shares most of them. Labels are of documents: the sentences of a
 clean document are clean, and of a toxic one the sentence that scores highest is toxic (two rounds). The
 machine is linear in the Nyström features, so it folds into one table of subsequence weights, and a string
-costs the same whatever the number of landmarks. A document scores as its worst sentence does.
+costs the same whatever the number of landmarks. A document scores by its three worst strings.
 """
 
 from __future__ import annotations
@@ -26,7 +26,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices
 from tessera.llm.quality import held_out, training_labels
 
-DECAY, REACH = 0.6, 5
+DECAY = 0.6
+#: Lengths of the subsequences, and how far after its first character the last may stand.
+SHAPES = ((4, 5), (6, 6))
+#: Strings of a document that its score is made of.
+WORST = 3
+#: Decision value from which one string may do.
+SURE = 0.7
 #: Bounds of what is learned from: labelled documents of each class (taken by hash of the id, up to so many
 #: characters long), strings of each class, landmarks.
 MAX_DOCS, MAX_CHARS, MAX_STRINGS, LANDMARKS = 2500, 20_000, 2500, 256
@@ -35,8 +41,11 @@ FOLDS, FOLD = 3, 1
 THRESHOLD = 0.7
 #: Words that a Python worker remembers as harmless; results don't depend on it.
 CACHE = 400_000
-_SYMBOLS, _MARK, _END = 32, 31, 0
-_GAPS = [(a, b, c, DECAY ** (c - 3)) for a, b, c in combinations(range(1, REACH + 1), 3)]
+_MARK, _END = 31, 0
+#: Longer subsequences share the numbers above those of 4 characters, by hash.
+_SHORT, _SIZE = 1 << 20, (1 << 20) + (1 << 21)
+_GAPS = [((0, *at), DECAY ** (at[-1] - n + 1)) for n, reach in SHAPES for at in combinations(range(1, reach + 1), n - 1)]
+_RUNS = [g for g in _GAPS if g[1] == 1.0]
 _DELETE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WIDE = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 
@@ -69,11 +78,17 @@ def subsequences(words: list[bytes], gaps: list = _GAPS) -> tuple[np.ndarray, np
     word = np.cumsum(ends)
     n = len(symbol)
     numbers, codes, weights = [], [], []
-    for a, b, c, w in gaps:
-        if n <= c:
+    for at, w in gaps:
+        reach = at[-1]
+        if n <= reach:
             continue
-        inside = np.flatnonzero((word[: n - c] == word[c:]) & ~ends[: n - c])
-        code = ((symbol[inside] * 32 + symbol[inside + a]) * 32 + symbol[inside + b]) * 32 + symbol[inside + c]
+        inside = np.flatnonzero((word[: n - reach] == word[reach:]) & ~ends[: n - reach])
+        code = np.zeros(len(inside), np.int64)
+        for k in at:
+            code = code * 32 + symbol[inside + k]
+        if len(at) > 4:
+            with np.errstate(over="ignore"):
+                code = _SHORT + ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
         numbers.append(word[inside])
         codes.append(code)
         weights.append(np.full(len(inside), w))
@@ -85,8 +100,8 @@ def subsequences(words: list[bytes], gaps: list = _GAPS) -> tuple[np.ndarray, np
 def norms(words: list[bytes]) -> np.ndarray:
     """Square roots of each string's kernel with itself (1 for strings without subsequences)."""
     number, code, weight = subsequences(words)
-    key, at = np.unique(number * _SYMBOLS**4 + code, return_inverse=True)
-    own = np.bincount(key // _SYMBOLS**4, np.bincount(at, weight) ** 2, len(words)) if len(key) else np.zeros(len(words))
+    key, at = np.unique(number * _SIZE + code, return_inverse=True)
+    own = np.bincount(key // _SIZE, np.bincount(at, weight) ** 2, len(words)) if len(key) else np.zeros(len(words))
     return np.where(own > 0, np.sqrt(own), 1.0)
 
 
@@ -132,12 +147,11 @@ def support_vectors(z: np.ndarray, y: np.ndarray, share: np.ndarray, c: float =
 
 @dataclass
 class Model:
-    """Weights of subsequences, the bias, and slope and offset of the logistic; None: every score is ``share``."""
+    """Weights of subsequences, the bias, and the logistic's weights of the worst strings; None: every score is ``share``."""
 
     table: np.ndarray | None
     bias: float = 0.0
-    slope: float = 1.0
-    offset: float = 0.0
+    weights: np.ndarray | None = None
     share: float = 0.0
 
     def raw(self, words: list[bytes]) -> np.ndarray:
@@ -152,16 +166,34 @@ class Model:
             out[up] += total[up] / norms([words[k] for k in up.tolist()])
         return out
 
-    def score(self, value: np.ndarray) -> np.ndarray:
-        """Scores of documents from the highest decision values of their strings."""
-        return 1.0 / (1.0 + np.exp(-(self.slope * value + self.offset).clip(-50, 50)))
+    def worst(self, values: list[float]) -> list[float]:
+        """The WORST highest values of a document's strings, cut at 1.2, what the first is over SURE, and a constant.
 
+        Strings that the document lacks have the bias.
+        """
+        top = sorted((min(v, 1.2) for v in values if v > self.bias), reverse=True)[:WORST]
+        sure = max(top[0] - SURE, 0.0) if top else 0.0
+        return [*(v - self.bias for v in top), *[0.0] * (WORST - len(top)), sure, 1.0]
 
-def _fit_strings(good: list[bytes], bad: list[bytes], count: Counter) -> tuple[np.ndarray, float]:
-    """The table and bias for strings that ``count`` documents of their class have."""
-    words = bad + good
-    y = np.array([1.0] * len(bad) + [-1.0] * len(good))
+    def score(self, worst: np.ndarray) -> np.ndarray:
+        """Scores of documents from rows of ``worst``."""
+        return 1.0 / (1.0 + np.exp(-(worst @ self.weights).clip(-50, 50)))
+
+
+def _fit_strings(good: list[bytes], bad: list[bytes], count: Counter, purity: dict[bytes, float]) -> tuple[np.ndarray, float]:
+    """The table and bias for strings that ``count`` documents have.
+
+    A bad string whose runs clean documents have as well stands on both sides, by its ``purity``, so that
+    its decision value shows how sure it is.
+    """
+    both = [w for w in bad if purity.get(w, 1.0) < 0.99]
+    words = bad + good + both
+    y = np.array([1.0] * len(bad) + [-1.0] * (len(good) + len(both)))
     share = np.sqrt([max(count[w], 1) for w in words])
+    part = np.array([purity.get(w, 1.0) for w in words])
+    sides = [share[y > 0].sum(), share[len(bad) : len(bad) + len(good)].sum()]
+    share[: len(bad)] *= part[: len(bad)]
+    share[len(bad) + len(good) :] *= (1 - part[len(bad) + len(good) :]) * sides[1] / sides[0]
     half = LANDMARKS // 2
     marks = bad[:half] + good[:half]  # both begin with the most frequent
     value, vector = np.linalg.eigh(kernel(marks, marks))
@@ -170,25 +202,28 @@ def _fit_strings(good: list[bytes], bad: list[bytes], count: Counter) -> tuple[n
     w, bias = support_vectors(kernel(words, marks) @ back, y, share)
     number, code, weight = subsequences(marks)
     part = (back @ w / norms(marks))[number] * weight
-    return np.bincount(code, part, _SYMBOLS**4).astype(np.float32), bias
+    return np.bincount(code, part, _SIZE).astype(np.float32), bias
 
 
 def _by_hash(words: Iterable[bytes]) -> list[bytes]:
     return sorted(words, key=lambda w: (xxhash.xxh64_intdigest(w, 3), w))
 
 
-def _logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic fit to decision values, with smoothed targets."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+    """Weights of the logistic fit, both classes counting alike, with smoothed targets; the last column is the constant."""
     n1, n0 = (y > 0).sum(), (y <= 0).sum()
+    part = len(y) / np.where(y > 0, 2 * n1, 2 * n0)
     goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([value, np.ones(len(value))], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(100):
+    keep = ridge * np.eye(x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - goal))
-        w = w - step.clip(-2, 2)
-    return float(max(w[0], 1e-3)), float(w[1])
+        step = np.linalg.solve((x * (part * p * (1 - p))[:, None]).T @ x + keep, x.T @ (part * (p - goal)) + keep @ w)
+        w = w - step.clip(-1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    w[:-1] = np.maximum(w[:-1], 0.0)  # a worse string never makes a document better
+    return w
 
 
 def _unlike(docs: list[set[bytes]]) -> list[set[bytes]]:
@@ -202,12 +237,15 @@ def _unlike(docs: list[set[bytes]]) -> list[set[bytes]]:
     return list(seen.values())
 
 
-def _telling(every: list[bytes], toxic: list[set[bytes]], clean: list[set[bytes]]) -> set[bytes]:
-    """Strings with a 4-character run whose share of toxic documents is higher than chance can make it.
+def _telling(every: list[bytes], toxic: list[set[bytes]], clean: list[set[bytes]]) -> dict[bytes, float]:
+    """Strings with a run of characters whose share of toxic documents is higher than chance can make it,
+    and the highest such share.
 
     By twice the log-likelihood ratio, which must beat that of nearly all of as many runs without meaning.
     """
-    number, code, _ = subsequences(every, _GAPS[:1])
+    number, code, _ = subsequences(every, _RUNS)
+    order = np.argsort(number, kind="stable")
+    number, code = number[order], code[order]
     names, code = np.unique(code, return_inverse=True)
     parts = np.split(code, np.searchsorted(number, np.arange(1, len(every))))
     of = dict(zip(every, parts, strict=True))
@@ -222,8 +260,9 @@ def _telling(every: list[bytes], toxic: list[set[bytes]], clean: list[set[bytes]
     seen = np.maximum(a + b, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * (np.where(a > 0, a * np.log(a / seen / share), 0) + np.where(b > 0, b * np.log(b / seen / (1 - share)), 0))
-    odd = (a / seen > max(share, 0.9)) & (ratio > 1.5 * np.log(len(names) + 1))
-    return {w for w, p in of.items() if len(p) and odd[p].any()}
+    odd = (a / seen > min(0.9, max(3.5 * share, 0.4))) & (ratio > 1.5 * np.log(len(names) + 1))
+    sure = np.where(odd, a / seen, 0.0)
+    return {w: float(sure[p].max()) for w, p in of.items() if len(p) and odd[p].any()}
 
 
 def fit(docs: list[tuple[set[bytes], int]]) -> Model:
@@ -244,14 +283,14 @@ def fit(docs: list[tuple[set[bytes], int]]) -> Model:
     good = list(dict.fromkeys(common + _by_hash(in_clean)[: MAX_STRINGS // 3]))
     good = [w for w in good if w not in set(bad)]
     for last in (False, True):
-        table, bias = _fit_strings(good, bad, in_toxic + in_clean)
+        table, bias = _fit_strings(good, bad, in_toxic + in_clean, telling)
         model = Model(table, bias)
         value = dict(zip(every, model.raw(every).tolist(), strict=True))
         if not last:  # the worst sentence of each clean document joins the clean strings
             hard = sorted({max(s, key=lambda w: (value[w], w)) for s in clean} - set(bad), key=lambda w: (-value[w], w))
             good = list(dict.fromkeys(good[: LANDMARKS // 2] + hard[: MAX_STRINGS // 3] + good))[:MAX_STRINGS]
-    best = np.array([max(map(value.__getitem__, s)) for s in toxic + clean])
-    model.slope, model.offset = _logistic(best, np.array([1] * len(toxic) + [0] * len(clean)))
+    best = np.array([model.worst([value[w] for w in s]) for s in toxic + clean])
+    model.weights = _logistic(best, np.array([1] * len(toxic) + [0] * len(clean)))
     return model
 
 
@@ -276,7 +315,7 @@ class Scorer:
             self.bad.update((part[i], float(value[i])) for i in np.flatnonzero(up).tolist())
             self.harmless.update(part[i] for i in np.flatnonzero(~up).tolist())
         self.known = self.bad.keys()
-        best = np.array([max([self.bad[w] for w in s & self.known], default=self.model.bias) for s in own])
+        best = np.array([self.model.worst([self.bad[w] for w in s & self.known]) for s in own]).reshape(-1, WORST + 2)
         if len(self.bad) > CACHE:
             self.bad.clear()
         return self.model.score(best)
