@@ -79,5 +79,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Chat formatting: lengths and digests follow from the turns.
+OP4_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), p AS (
+  SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS of,
+    sum(3 + length(url_encode(role)) + 1 + length(regexp_replace(text, '([<\[])(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) + 4) OVER w AS upto
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR n = of) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+
+#: Mixing: the level at which targets stand still, then the rows by hash up to each source's rest.
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, row_number() OVER o AS k,
+    (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(2.0::DOUBLE * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / w, source)
+), l AS (
+  SELECT level FROM r WHERE 2.0::DOUBLE * source_size > level * w ORDER BY k LIMIT 1
+), g AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, (SELECT level FROM l) * w) AS target FROM s
+), q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM g
+), c AS (
+  SELECT d.*, source_size, target, copies, target - copies * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto,
+    sum(size) OVER (PARTITION BY d.source, h) AS words
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (copies + CASE WHEN rest > 0 AND (upto < rest OR (upto - words < rest AND 2 * (rest - (upto - words)) >= words)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for DuckDB; the other operators rest on models, xxHash, tokenizers or random draws, and are tested by brute force."""
+    return {"op4_chat": OP4_SQL, "op9_mixing": OP9_SQL}
