@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -63,7 +64,16 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in made.get("added_tokens") or [])
             and (made.get("model") or {}).get("dropout") is None
         )
-        self.added, self.kept = added, {}
+        self.added, self.kept, self.ends = added, {}, {}
+        # how the byte-level alphabet writes the bytes of letters up to U+024F; checked before it is relied on
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        for word in ("Word", "étàœß", "ÿŁőŸŐ"):
+            shown = "\u0120" + word.encode().decode("latin-1").translate(self.letters)
+            if np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes() != self._whole(f" {word}"):
+                self.letters = {}
+                break
+        self.tails = all(t.startswith("<|") and t.endswith("|>") for t in added)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         alone = [self._whole(x) for x in ("a\n b", "a", "\n", " b")] + [self._whole(x) for x in ("a\nb", "b", "\n\nb")]
         self.line, self.line_id = alone[2], line[0] if line else -1
@@ -89,10 +99,24 @@ class Encoder:
         return out
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of each piece: after a space, or, where it begins with LINE, after a new line."""
+        """The ids of each piece: after a space, or, where it begins with LINE, after a new line.
+
+        Letters alone are one pre-token, which the library's model takes as it is; other pieces go through
+        the whole tokenizer, many at a time.
+        """
         out: dict[str, bytes] = {}
-        after = [p[1:] for p in pieces if p[:1] == LINE and p[1:].isprintable() and len(p) > 1]
-        plain = [p for p in pieces if p.isprintable() and p]
+        after, plain, model, pack = [], [], self.tokenizer.model, struct.pack
+        for p in pieces:
+            line = p[:1] == LINE
+            body = p[1:] if line else p
+            if self.letters and body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+                if not body.isascii():
+                    body = body.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in model.tokenize(body if line else f"\u0120{body}")]
+                made = pack(f"<{len(ids)}I", *ids)
+                out[p] = self.line + made if line else made
+            elif body.isprintable() and body:
+                (after if line else plain).append(body)
         if any(m in text for text in ("\n".join(after), "\n".join(plain)) for m in self.added):
             after, plain = [], []  # a special token's string is among them: one by one
         out.update((LINE + p, self.line + ids) for p, ids in self._joined(after, "").items())
@@ -102,6 +126,39 @@ class Encoder:
                 out[p] = self._whole("\n" + p[1:] if p[:1] == LINE else f" {p}")
         return out
 
+    def _fill(self, pieces: list[str], ids: list[bytes | None]) -> None:
+        """Puts in the ids that lack; punctuation after a letter or digit is encoded apart from what is before it."""
+        kept, need, later, made = self.kept, {}, [], {}
+        for i in [i for i, v in enumerate(ids) if v is None]:
+            p = pieces[i]
+            base = p.rstrip(_TAIL) if self.tails else p
+            if len(base) == len(p) or not (base and base[-1] < "\u0250" and base[-1].isalnum()):
+                base = p
+            have = kept.get(base) if base is not p else None
+            if have is None:
+                need[base] = None
+                later.append((i, base, p[len(base) :]))
+            else:
+                ids[i] = made[p] = have + self._tail(p[len(base) :])
+        extra = self._learn(list(need))
+        for i, base, tail in later:
+            ids[i] = extra[base]
+            if tail:
+                ids[i] = made[base + tail] = extra[base] + self._tail(tail)
+        extra |= made
+        if len(kept) + len(extra) > CACHE:  # short pieces are the likelier to come again
+            short = [(p, b) for p, b in kept.items() if len(p) <= SHORT][: CACHE // 2]
+            kept.clear()
+            kept.update(short)
+        kept.update(extra)
+
+    def _tail(self, text: str) -> bytes:
+        if text not in self.ends:
+            self.ends[text] = self._whole(text)
+            if len(self.ends) > 10_000:
+                self.ends = {text: self.ends[text]}
+        return self.ends[text]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_piece:
@@ -112,15 +169,7 @@ class Encoder:
             pieces = list(chain.from_iterable(s for s in part if s))
             ids = list(map(kept.get, pieces))
             if None in ids:
-                lacking = [i for i, v in enumerate(ids) if v is None]
-                extra = self._learn(list(dict.fromkeys(map(pieces.__getitem__, lacking))))
-                for i in lacking:
-                    ids[i] = extra[pieces[i]]
-                if len(kept) + len(extra) > CACHE:  # short pieces are the likelier to come again
-                    short = [(p, b) for p, b in kept.items() if len(p) <= SHORT][: CACHE // 2]
-                    kept.clear()
-                    kept.update(short)
-                kept.update(extra)
+                self._fill(pieces, ids)
             at = 0
             for t, s in zip(texts[k : k + 16], part, strict=True):
                 if s is None:
@@ -135,6 +184,8 @@ class Encoder:
 #: at the end, or the character that stands for a new line in pieces.
 _SPACED = re.compile(r"\s |[^\S\n]\n|\n\n(?:\n|\Z)|\x00")
 LINE = "\x00"
+#: Punctuation that the pre-tokenizer parts from a letter or digit before it; no apostrophe, which may begin a contraction.
+_TAIL = ".,;:!?*#$%&|)]}\""
 LINED = f" {LINE}"
 
 

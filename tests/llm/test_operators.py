@@ -245,6 +245,7 @@ def test_encoder_is_the_library(name):
 
     made = tokens.Encoder(public_tokenizers.path(name))
     odd = ["", " ", "a", "\n", " a", "a ", "a\n", "\na", "a\n\nb", "a\n\n\nb", "a\n\n", "a  b", "a \nb", "a\n b", "a\tb c", "x <|endoftext|> y", "a\x00b c", "it's 12 3,4", "\xa0 a b", "a\x1c b", "a\x85 b"]
+    odd += ["x<|endoftext|>. y", "x <|endoftext|", "<|endoftext|>.", "it's. 'tis, don't!", "a.b, c..", "中。 中, ²." ]
     rng = random.Random(3)
     odd += ["".join(rng.choice("ab É1.'\n \t <|>") for _ in range(40)) for _ in range(300)]
     for _ in range(2):
