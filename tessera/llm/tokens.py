@@ -128,7 +128,7 @@ class Encoder:
 
     def _fill(self, pieces: list[str], ids: list[bytes | None]) -> None:
         """Puts in the ids that lack; punctuation after a letter or digit is encoded apart from what is before it."""
-        kept, need, later, made = self.kept, {}, [], {}
+        kept, need, later = self.kept, {}, []
         for i in [i for i, v in enumerate(ids) if v is None]:
             p = pieces[i]
             base = p.rstrip(_TAIL) if self.tails else p
@@ -139,13 +139,10 @@ class Encoder:
                 need[base] = None
                 later.append((i, base, p[len(base) :]))
             else:
-                ids[i] = made[p] = have + self._tail(p[len(base) :])
+                ids[i] = have + self._tail(p[len(base) :])
         extra = self._learn(list(need))
         for i, base, tail in later:
-            ids[i] = extra[base]
-            if tail:
-                ids[i] = made[base + tail] = extra[base] + self._tail(tail)
-        extra |= made
+            ids[i] = extra[base] + self._tail(tail) if tail else extra[base]
         if len(kept) + len(extra) > CACHE:  # short pieces are the likelier to come again
             short = [(p, b) for p, b in kept.items() if len(p) <= SHORT][: CACHE // 2]
             kept.clear()
