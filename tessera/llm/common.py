@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most rows of an Arrow batch.
+BATCH_ROWS = 512
 #: Rows up to which a checkpointed helper table may be broadcast (about 24 bytes a row).
 BROADCAST_ROWS = 200_000
 
@@ -49,6 +51,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of at most BATCH_ROWS rows; texts can be long, and a batch is held whole.
+
+    Lowers the session's limit, which is read when the plan runs.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in pieces, so that a worker holds few texts as Python objects at a time."""
     for b in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import map_arrow, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A similarity of 0.8 puts fingerprints about 10 bits apart, with a deviation of 3; 3 * 8 - 1 is the most that blocks within 2 bits guarantee.
@@ -202,7 +202,7 @@ def contaminations(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
                 arrays = [b.column(0).take(at), *(pa.array([r[c] for r in rows], kind) for c, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-        return keyed.mapInArrow(run, schema)
+        return map_arrow(keyed, run, schema)
 
     found = [one(index) for index in passes(items)]
     return reduce(DataFrame.union, found) if found else keyed.sparkSession.createDataFrame([], schema)
@@ -218,5 +218,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 yield b.filter(pa.array([not (t and sent.value.matches(t, similarity)) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

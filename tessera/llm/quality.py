@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, free_name, slices
+from tessera.llm.common import cut, free_name, map_arrow, slices
 
 #: Share of the pooled covariance in a class's, then of the mean variance times identity.
 POOLED, RIDGE = 0.2, 0.001
@@ -109,7 +109,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             at = np.arange(len(made) + 1, dtype=np.int32) * len(NAMES)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(at), pa.array(made.ravel()))], names=[*rest, name])
 
-    return slim.mapInArrow(run, schema)
+    return map_arrow(slim, run, schema)
 
 
 def rounded(texts: list[bytes | None]) -> np.ndarray:
@@ -134,7 +134,7 @@ def fit(labelled: DataFrame) -> Model:
                 sums[k] += one[label == k].T @ one[label == k]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["at", "n"])
 
-    parts = labelled.select("stats", F.col("label").cast("int").alias("label")).mapInArrow(run, "at long, n long")
+    parts = map_arrow(labelled.select("stats", F.col("label").cast("int").alias("label")), run, "at long, n long")
     total = np.zeros(2 * (p + 1) ** 2, dtype=object)
     for r in parts.groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect():
         total[r["at"]] = int(r.n)
@@ -189,7 +189,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
     schema = stats.select("id").schema.add("score", "double").add("predicted", "integer")
-    made = stats.mapInArrow(run, schema)
+    made = map_arrow(stats, run, schema)
     return made.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", "predicted")
 
 
@@ -203,4 +203,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             texts = b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
             yield b.filter(pa.array(model.score(rounded(texts) / SCALE) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, slices
+from tessera.llm.common import free_name, map_arrow, slices
 
 #: Words from which a maximal repeat counts; the most of the words that such repeats may cover, and the
 #: longest one allowed (words).
@@ -118,4 +118,4 @@ def quality_rules(docs: DataFrame, text_col: str = "text", least: int = MIN_REPE
             arrays = [*b.columns[:-1], *(pa.array(made[:, k].copy()) for k in range(7)), pa.array(base), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *names, *flags])
 
-    return slim.mapInArrow(run, schema)
+    return map_arrow(slim, run, schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, free_name, slices, small
+from tessera.llm.common import cut, free_name, map_arrow, slices, small
 from tessera.llm.components import components
 
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4, seed:
             made = np.array([fingerprint(t or b"", words, seed) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made.view(np.int64))], names=[*rest, name])
 
-    return slim.mapInArrow(run, schema)
+    return map_arrow(slim, run, schema)
 
 
 @lru_cache(maxsize=64)
@@ -208,7 +208,7 @@ def near_links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> Data
             .select("g", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
         )
     keys = ["g", "key", "x", "y"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(radius), "u long, v long")
+    return map_arrow(dealt.repartition(*keys).sortWithinPartitions(*keys), _linker(radius), "u long, v long")
 
 
 def _signed(x: int) -> int:

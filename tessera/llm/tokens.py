@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, slices
+from tessera.llm.common import map_arrow, new_path, slices
 
 #: Parquet settings: delta encoding of all columns, small row groups and pages; the format has page indexes by itself.
 LAYOUT = {
@@ -228,7 +228,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
             pos, start = pos + len(ids), start + int(ends[-1])
 
     schema = "part int, pos long, part_start long, n_tokens long, doc_id long, ids array<int>"
-    ranged.mapInArrow(run, schema).write.options(**LAYOUT).parquet(out)
+    map_arrow(ranged, run, schema).write.options(**LAYOUT).parquet(out)
     return out
 
 
@@ -260,7 +260,7 @@ def crc_of_ids(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(tokens.select("doc_id", "start", "n_tokens", "ids"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, tokenizer: str, **args) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import map_arrow, slices
 from tessera.llm.quality import held_out, training_labels
 
 DECAY = 0.6
@@ -335,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             made = [b"\n".join(sorted(strings_of(t))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "label", "strings"])
 
-    rows = texts.mapInArrow(run, texts.select("id", "label").schema.add("strings", "binary"))
+    rows = map_arrow(texts, run, texts.select("id", "label").schema.add("strings", "binary"))
     got: list[tuple[set[bytes], int]] = []
     shared: dict[bytes, bytes] = {}  # one object for each string
     for k in (0, 1):
@@ -360,5 +360,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             score = scorer.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
-    made = keyed.mapInArrow(run, keyed.select("id").schema.add("score", "double").add("predicted", "integer"))
+    made = map_arrow(keyed, run, keyed.select("id").schema.add("score", "double").add("predicted", "integer"))
     return made.select(F.col("id").alias(id_col), held_out("id", FOLDS, FOLD).alias("held_out"), "score", "predicted")
