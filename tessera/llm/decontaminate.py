@@ -1,10 +1,10 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by SimHash of windows of any size.
 
-Text and items become lower-case words without ASCII punctuation. Only where a document has a shingle of
-an item can a window be similar to it, so windows of every item length are laid around such places; each
-gets a SimHash over its weighted shingles. Items are indexed by the 8 blocks of 8 bits of their own
-fingerprints, with every value within 2 bits: a pair within RADIUS = 23 bits agrees within 2 bits in some
-block, so no such pair is missed. Candidates are verified by the exact weighted Jaccard similarity.
+Text and items become lower-case words without ASCII punctuation. A window can only be similar to an item
+if the document has that share of the weight of the item's shingles; for such items, windows are laid
+between every two places of the item's shingles in the document, of every length whose weight allows the
+similarity. Windows whose fingerprint over their weighted shingles is within RADIUS bits of the item's are
+verified by the exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A similarity of 0.8 puts fingerprints about 10 bits apart, with a deviation of 3; 3 * 8 - 1 is the most that blocks within 2 bits guarantee.
-BLOCKS, BLOCK_RADIUS = 8, 2
-RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+#: A similarity of 0.8 puts fingerprints about 10 bits apart with a deviation of 3, of few shingles up to 16 with 3.5; unrelated texts are 32 apart.
+RADIUS = 31
+#: Digits that similarities are rounded to, so that sums in another order come out alike.
+DIGITS = 9
+#: Windows of a document and an item that are held at once (of one start at least).
+WINDOWS = 200_000
 #: Items, and characters of items, whose index is sent to the executors at once; more items take more passes.
 PASS_ITEMS, PASS_CHARS = 20_000, 16_000_000
 _TO_SPACE = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -56,25 +59,26 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocab: dict[bytes, int] = {}
-        rows = []
+        made = []
         for item, text in items:
             words = words_of(text or "")
             if len(words) >= SHINGLE:
-                rows.append((item, np.array([self._id(w) for w in words], np.uint64)))
-        made = [(item, len(ids), _shingle_hashes(ids)) for item, ids in rows]
-        spread = Counter(h for _, _, hs in made for h in set(hs.tolist()))
-        self.weight = {h: 1.0 + math.log(max(len(made), 1) / c) for h, c in spread.items()}
+                made.append((item, _shingle_hashes(np.array([self._id(w) for w in words], np.uint64))))
+        spread = Counter(h for _, hs in made for h in set(hs.tolist()))
         self.known = np.array(sorted(spread), np.uint64)
-        self.known_weight = np.array([self.weight[h] for h in self.known.tolist()])
+        self.known_weight = np.array([1.0 + math.log(len(made) / spread[h]) for h in self.known.tolist()])
         self.other_weight = 1.0 + math.log(max(len(made), 1))  # a shingle of no item
-        self.items = [(item, Counter(hs.tolist())) for item, _, hs in made]
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        near = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= BLOCK_RADIUS
-        for n in sorted({n for _, n, _ in made}):
-            own = np.array([k for k, m in enumerate(made) if m[1] == n])
-            prints = np.array([self._prints(self._sums(made[k][2]), np.array([0]), n)[0] for k in own], np.uint64)
-            # for each block and byte, which items have a byte within BLOCK_RADIUS there
-            self.sizes[n] = own, prints, near[prints.view(np.uint8).reshape(-1, BLOCKS).T].transpose(0, 2, 1).copy()
+        self.ids = [item for item, _ in made]
+        #: For each item its distinct shingles as numbers into ``known``, in order, and their repeats.
+        self.items = [np.unique(np.searchsorted(self.known, hs), return_counts=True) for _, hs in made]
+        self.sizes = np.array([c @ self.known_weight[at] for at, c in self.items])
+        self.prints = [self._print(hs) for _, hs in made]
+        # the items that have a shingle, and how often: those of known[k] begin at first[k]
+        at = np.concatenate([at for at, _ in self.items] or [np.zeros(0, np.int64)])
+        order = np.argsort(at, kind="stable")
+        self.first = np.searchsorted(at[order], np.arange(len(self.known) + 1))
+        self.having = np.repeat(np.arange(len(made), dtype=np.int32), [len(at) for at, _ in self.items])[order]
+        self.repeats = np.concatenate([c for _, c in self.items] or [at])[order].astype(np.int32)
 
     def _id(self, word: bytes) -> int:
         return self.vocab.setdefault(word, xxhash.xxh64_intdigest(word, 5) | 1)
@@ -83,20 +87,17 @@ class Index:
         at = np.searchsorted(self.known, hashes).clip(max=max(len(self.known) - 1, 0))
         return np.where(self.known[at] == hashes, self.known_weight[at], self.other_weight)
 
-    def _sums(self, hashes: np.ndarray) -> np.ndarray:
-        """Running sums over shingles of the weight that sets each bit less the weight that doesn't."""
+    def _print(self, hashes: np.ndarray) -> int:
+        """The fingerprint of a run of shingles: a bit is set if over half the weight sets it."""
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total = np.zeros((len(hashes) + 1, 64))
-        np.cumsum((2.0 * bits - 1.0) * self._weights(hashes)[:, None], axis=0, out=total[1:])
-        return total
-
-    def _prints(self, total: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """Fingerprints of the windows of ``n`` words from ``starts``: a bit is set if over half the weight sets it."""
-        signs = (total[starts + n - SHINGLE + 1] - total[starts]) > 1e-9
-        return np.packbits(signs, axis=1, bitorder="little").view(np.uint64).ravel()
+        signs = self._weights(hashes) @ (2.0 * bits - 1.0) > 1e-9
+        return int.from_bytes(np.packbits(signs, bitorder="little").tobytes(), "little")
 
     def matches(self, text: str, least: float) -> list[tuple[int, float, int, int]]:
-        """``(item_id, similarity, first word, words)`` of the best window for each item that reaches ``least``."""
+        """``(item_id, similarity, first word, words)`` of the best window for each item that reaches ``least``.
+
+        Of equal windows the first, then the shortest.
+        """
         words = words_of(text)
         if len(words) < SHINGLE or not self.items:
             return []
@@ -113,57 +114,78 @@ class Index:
                 h = (h ^ part[k]) * _MIX[k]
                 h ^= h >> np.uint64(29)
         at = np.searchsorted(self.known, h).clip(max=len(self.known) - 1)
-        hits = runs[self.known[at] == h]
-        if not len(hits):
+        is_hit = self.known[at] == h
+        hits, at = runs[is_hit], at[is_hit]
+        likely = self._likely(at, least)
+        if not len(likely):
             return []
         for k in np.flatnonzero(~inside).tolist():  # words of no item still take part in shingles
             ids[k] = xxhash.xxh64_intdigest(words[k], 5) | 1
-        all_hashes = _shingle_hashes(ids)
-        best: dict[int, tuple[float, int, int]] = {}
-        longest = max(self.sizes)
-        # stretches of the text in which hits are closer than a window
-        for stretch in np.split(hits, np.flatnonzero(np.diff(hits) > longest) + 1):
-            lo = max(0, int(stretch[0]) + SHINGLE - longest)
-            hi = min(len(words), int(stretch[-1]) + longest)
-            hashes = all_hashes[lo : hi - SHINGLE + 1]
-            weight = self._weights(hashes)
-            hit = np.zeros(len(hashes))
-            hit[stretch - lo] = weight[stretch - lo]
-            every, known = np.append(0, np.cumsum(weight)), np.append(0, np.cumsum(hit))
-            total = None
-            for n in self.sizes:
-                starts = np.arange(max(0, hi - lo - n + 1))
-                # what a window shares with an item is at least ``least`` of its own weight
-                ends = starts + n - SHINGLE + 1
-                starts = starts[known[ends] - known[starts] >= least * (every[ends] - every[starts]) - 1e-9]
-                if len(starts):
-                    total = self._sums(hashes) if total is None else total
-                    self._verify(hashes, total, starts, lo, n, least, best)
-        return [(self.items[k][0], *v) for k, v in sorted(best.items())]
-
-    def _verify(self, hashes: np.ndarray, total: np.ndarray, starts: np.ndarray, lo: int, n: int, least: float, best: dict) -> None:
-        """Probes the items of ``n`` words with the windows from ``starts`` and verifies candidates."""
-        own, prints, near = self.sizes[n]
-        made = self._prints(total, starts, n)
-        blocks = made.view(np.uint8).reshape(-1, BLOCKS)
-        candidate = np.zeros((len(made), len(own)), bool)
-        for b in range(BLOCKS):
-            candidate |= near[b][blocks[:, b]]
-        at, which = np.nonzero(candidate)
-        within = np.bitwise_count(made[at] ^ prints[which]) <= RADIUS
-        counted: dict[int, Counter] = {}
-        for s, k in zip(starts[at[within]].tolist(), own[which[within]].tolist(), strict=True):
-            if s not in counted:
-                counted[s] = Counter(hashes[s : s + n - SHINGLE + 1].tolist())
-            score = self._similarity(counted[s], self.items[k][1])
-            if score >= least and (k not in best or score > best[k][0]):
-                best[k] = (score, lo + s, n)
-
-    def _similarity(self, a: Counter, b: Counter) -> float:
-        w, other = self.weight, self.other_weight
-        both = sum(min(c, b[h]) * w.get(h, other) for h, c in a.items() if h in b)
-        total = sum(c * w.get(h, other) for h, c in a.items()) + sum(c * w.get(h, other) for h, c in b.items())
-        return both / (total - both)
+        hashes = _shingle_hashes(ids)
+        every = np.append(0, np.cumsum(self._weights(hashes)))
+        found = []
+        for k in likely.tolist():
+            best = self._best(k, hashes, every, hits, at, least)
+            if best:
+                found.append((self.ids[k], *best))
+        return found
+
+    def _likely(self, at: np.ndarray, least: float) -> np.ndarray:
+        """Items of whose weight a text with the shingles ``known[at]`` has at least ``least``; no other can be similar."""
+        if not len(at):
+            return at
+        own, count = np.unique(at, return_counts=True)
+        sizes = self.first[own + 1] - self.first[own]
+        row = np.repeat(np.arange(len(own)), sizes)
+        places = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.first[own][row]
+        shared = np.bincount(self.having[places], np.minimum(self.repeats[places], count[row]) * self.known_weight[own][row], len(self.items))
+        return np.flatnonzero(shared >= least * self.sizes - 1e-9)
+
+    def _best(self, k: int, hashes: np.ndarray, every: np.ndarray, hits: np.ndarray, at: np.ndarray, least: float) -> tuple[float, int, int] | None:
+        """Similarity, first word and words of the window most similar to item ``k``; None where none reaches ``least``.
+
+        The best window begins and ends with a shingle of the item, since any other is weight that isn't shared.
+        """
+        own = self.items[k][0]
+        size = self.sizes[k]
+        of_item = own[np.searchsorted(own, at).clip(max=len(own) - 1)] == at
+        places, shingles = hits[of_item], at[of_item]
+        known = np.append(0, np.cumsum(self.known_weight[shingles]))
+        begin, end = every[places], every[places + 1]
+        low = np.searchsorted(end, begin + least * size - 1e-9)
+        high = np.searchsorted(end, begin + size / least + 1e-9, "right")
+        best: tuple[float, int, int] | None = None
+        ahead = np.append(0, np.cumsum(high - low))
+        i = 0
+        while i < len(places):  # starts whose windows are held at once
+            j = max(i + 1, int(np.searchsorted(ahead, ahead[i] + WINDOWS, "right")) - 1)
+            n = (high - low)[i:j]
+            s = np.repeat(np.arange(i, j), n)
+            e = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + low[s]
+            shared = np.minimum(known[e + 1] - known[s], size)
+            bound = np.round(shared / (end[e] - begin[s] + size - shared), DIGITS)  # repeats can only lower it
+            some = np.flatnonzero(bound >= (best[0] if best else least))
+            for w in some[np.lexsort((e[some], s[some], -bound[some]))].tolist():
+                if best and bound[w] < best[0]:
+                    break
+                first, words = int(places[s[w]]), int(places[e[w]] - places[s[w]]) + SHINGLE
+                if best and bound[w] == best[0] and (first, words) > best[1:]:
+                    continue
+                window = hashes[first : first + words - SHINGLE + 1]
+                if (self._print(window) ^ self.prints[k]).bit_count() > RADIUS:
+                    continue
+                score = self._similarity(k, shingles[s[w] : e[w] + 1], self._weights(window).sum())
+                if score >= least and (not best or (-score, first, words) < (-best[0], *best[1:])):
+                    best = score, first, words
+            i = j
+        return best
+
+    def _similarity(self, k: int, shingles: np.ndarray, weight: float) -> float:
+        """The weighted Jaccard similarity of item ``k`` and a window of that ``weight`` with these of the item's shingles."""
+        own, repeats = self.items[k]
+        found, count = np.unique(shingles, return_counts=True)
+        both = np.minimum(count, repeats[np.searchsorted(own, found)]) @ self.known_weight[found]
+        return round(float(both / (weight + self.sizes[k] - both)), DIGITS)
 
 
 def passes(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:

@@ -430,3 +430,54 @@ def test_kernel_is_the_sum_over_common_subsequences():
     x, y = table(a), table(b)
     dot = lambda p, q: sum(v * q[k] for k, v in p.items())
     assert toxicity.kernel([a], [b])[0, 0] == pytest.approx(dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5, rel=1e-5)
+
+
+def brute_windows(items, text, least=0.8):
+    """Similarity, first word and words of the best window of any length for each item that reaches ``least``."""
+    split = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", t.lower()).split()
+    cuts = {k: [tuple(w[j : j + 5]) for j in range(len(w) - 4)] for k, t in items if len(w := split(t)) >= 5}
+    spread = Counter(s for own in cuts.values() for s in set(own))
+    weight = lambda s: 1 + np.log(len(cuts) / spread.get(s, 1))
+    w = split(text)
+    doc = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+    best = {}
+    for k, own in cuts.items():
+        have, size = Counter(own), sum(map(weight, own))
+        for s in range(len(doc)):
+            seen, both, total = Counter(), 0.0, 0.0
+            for e in range(s, len(doc)):
+                seen[doc[e]] += 1
+                total += weight(doc[e])
+                both += weight(doc[e]) * (seen[doc[e]] <= have[doc[e]])
+                score = round(both / (total + size - both), 9)
+                if score >= least:
+                    best[k] = min(best.get(k, (0,)), (-score, s, e - s + 5))
+    return {k: (-v[0], *v[1:]) for k, v in best.items()}
+
+
+def test_windows_of_any_length_against_brute_force():
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(400)]
+    draw = lambda n: rng.choices(vocab, k=n)
+    template = draw(12)
+    items = [(k, " ".join(template * (k % 2) + draw(n))) for k, n in enumerate([5, 6, 7, 9, 13, 20, 26, 38, 47, 59, 59])]
+    items += [(20, items[7][1]), (21, "ha " * 30), (22, " ".join(draw(6) * 5))]
+    index = decontaminate.Index(items)
+    texts = [" ".join(items[7][1].split()[:-3]), " ".join(items[10][1].split()[:55]), " ".join(template)]
+    for _, text in items:
+        own = text.split()
+        for _ in range(12):
+            lo, hi = rng.randrange(len(own) // 8 + 1), rng.randrange(len(own) // 8 + 1)
+            w = own[lo : len(own) - hi]
+            if rng.random() < 0.4:
+                w.insert(rng.randrange(len(w)), "new")
+            if rng.random() < 0.3:
+                del w[rng.randrange(len(w))]
+            pad = rng.choice([0, 0, 9])
+            texts.append(" ".join(draw(pad) + w * rng.choice([1, 1, 2]) + draw(pad)))
+    found = 0
+    for text in texts:
+        want = brute_windows(items, text)
+        assert {m[0]: m[1:] for m in index.matches(text, 0.8)} == want
+        found += len(want)
+    assert found > 90 and {7, 20} <= brute_windows(items, texts[0]).keys() and 10 in brute_windows(items, texts[1])
