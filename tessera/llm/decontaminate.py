@@ -10,8 +10,8 @@ verified by the exact weighted Jaccard similarity.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -50,24 +50,56 @@ def _shingle_hashes(ids: np.ndarray) -> np.ndarray:
     return h
 
 
+def _item_hashes(text: str | None) -> np.ndarray:
+    """The shingles of an item's text, repeats included."""
+    ids = np.array([xxhash.xxh64_intdigest(w, 5) | 1 for w in words_of(text or "")], np.uint64)
+    return _shingle_hashes(ids) if len(ids) >= SHINGLE else ids[:0]
+
+
+@dataclass
+class Spread:
+    """The number of items with shingles, and of those that have a shingle, for each that several have, in order.
+
+    A shingle of one item weighs as much as one of none, so that shingles of other passes need no entry.
+    """
+
+    items: int
+    shingles: np.ndarray
+    counts: np.ndarray
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        """1 + ln(items / items that have it) for each shingle."""
+        rare = 1.0 + math.log(max(self.items, 1))
+        if not len(self.shingles):
+            return np.full(len(hashes), rare)
+        at = np.searchsorted(self.shingles, hashes).clip(max=len(self.shingles) - 1)
+        return np.where(self.shingles[at] == hashes, rare - np.log(self.counts[at]), rare)
+
+
+def spread_of(items: list[tuple[int, str]]) -> Spread:
+    own = [np.unique(h) for _, text in items if len(h := _item_hashes(text))]
+    shingles, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64),) * 2
+    return Spread(len(own), shingles[counts > 1], counts[counts > 1])
+
+
 class Index:
     """The items of one pass: ``(item_id, text)`` pairs.
 
     Items of fewer than SHINGLE words have no shingle and match nothing. A shingle weighs
-    1 + ln(items / items that have it), times its repeats.
+    1 + ln(items / items that have it), times its repeats; ``spread`` counts the items of all passes
+    (by default these are all).
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], spread: Spread | None = None):
+        self.spread = spread_of(items) if spread is None else spread
         self.vocab: dict[bytes, int] = {}
         made = []
         for item, text in items:
             words = words_of(text or "")
             if len(words) >= SHINGLE:
                 made.append((item, _shingle_hashes(np.array([self._id(w) for w in words], np.uint64))))
-        spread = Counter(h for _, hs in made for h in set(hs.tolist()))
-        self.known = np.array(sorted(spread), np.uint64)
-        self.known_weight = np.array([1.0 + math.log(len(made) / spread[h]) for h in self.known.tolist()])
-        self.other_weight = 1.0 + math.log(max(len(made), 1))  # a shingle of no item
+        self.known = np.unique(np.concatenate([hs for _, hs in made] or [np.zeros(0, np.uint64)]))
+        self.known_weight = self.spread.weights(self.known)
         self.ids = [item for item, _ in made]
         #: For each item its distinct shingles as numbers into ``known``, in order, and their repeats.
         self.items = [np.unique(np.searchsorted(self.known, hs), return_counts=True) for _, hs in made]
@@ -83,14 +115,10 @@ class Index:
     def _id(self, word: bytes) -> int:
         return self.vocab.setdefault(word, xxhash.xxh64_intdigest(word, 5) | 1)
 
-    def _weights(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.known, hashes).clip(max=max(len(self.known) - 1, 0))
-        return np.where(self.known[at] == hashes, self.known_weight[at], self.other_weight)
-
     def _print(self, hashes: np.ndarray) -> int:
         """The fingerprint of a run of shingles: a bit is set if over half the weight sets it."""
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        signs = self._weights(hashes) @ (2.0 * bits - 1.0) > 1e-9
+        signs = self.spread.weights(hashes) @ (2.0 * bits - 1.0) > 1e-9
         return int.from_bytes(np.packbits(signs, bitorder="little").tobytes(), "little")
 
     def matches(self, text: str, least: float) -> list[tuple[int, float, int, int]]:
@@ -122,7 +150,7 @@ class Index:
         for k in np.flatnonzero(~inside).tolist():  # words of no item still take part in shingles
             ids[k] = xxhash.xxh64_intdigest(words[k], 5) | 1
         hashes = _shingle_hashes(ids)
-        every = np.append(0, np.cumsum(self._weights(hashes)))
+        every = np.append(0, np.cumsum(self.spread.weights(hashes)))
         found = []
         for k in likely.tolist():
             best = self._best(k, hashes, every, hits, at, least)
@@ -174,7 +202,7 @@ class Index:
                 window = hashes[first : first + words - SHINGLE + 1]
                 if (self._print(window) ^ self.prints[k]).bit_count() > RADIUS:
                     continue
-                score = self._similarity(k, shingles[s[w] : e[w] + 1], self._weights(window).sum())
+                score = self._similarity(k, shingles[s[w] : e[w] + 1], self.spread.weights(window).sum())
                 if score >= least and (not best or (-score, first, words) < (-best[0], *best[1:])):
                     best = score, first, words
             i = j
@@ -188,18 +216,41 @@ class Index:
         return round(float(both / (weight + self.sizes[k] - both)), DIGITS)
 
 
+def spread_over(items: DataFrame, text_col: str = "text") -> Spread:
+    """The spread of the shingles of all ``items``, counted by the executors; a row each for those of several items goes to the driver."""
+    schema = items.select(F.lit(None).cast("long").alias("shingle")).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [np.unique(h).view(np.int64) for t in b.column(0).to_pylist() if len(h := _item_hashes(t))]
+            made = pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([made, pa.nulls(len(own), pa.int64())])], names=["shingle"])  # a null for each item
+
+    counted = map_arrow(items.select(F.col(f"`{text_col}`").alias("text")), run, schema).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    got = counted.filter("n > 1 OR shingle IS NULL").toArrow()
+    shingle, n = got.column(0), got.column(1).to_numpy()
+    none = shingle.is_null().to_numpy()
+    hashes = shingle.filter(shingle.is_valid()).to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Spread(int(n[none].sum()), hashes[order], n[~none][order])
+
+
 def passes(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes over bounded blocks of the items, one at a time on the driver; null ids are left out."""
+    """Indexes over bounded blocks of the items, one at a time on the driver; null ids are left out.
+
+    Shingles weigh by their spread over all blocks, so results don't depend on the bounds.
+    """
     keyed = items.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    spread = spread_over(keyed)
     held, chars = [], 0
     for r in keyed.orderBy("item", "text").toLocalIterator():
         if held and (len(held) >= PASS_ITEMS or chars + len(r.text) > PASS_CHARS):
-            yield Index(held)
+            yield Index(held, spread)
             held, chars = [], 0
         held.append((r.item, r.text))
         chars += len(r.text)
     if held:
-        yield Index(held)
+        yield Index(held, spread)
 
 
 def contaminations(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

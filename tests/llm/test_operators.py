@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on whole small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -437,18 +438,20 @@ def brute_windows(items, text, least=0.8):
     split = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", t.lower()).split()
     cuts = {k: [tuple(w[j : j + 5]) for j in range(len(w) - 4)] for k, t in items if len(w := split(t)) >= 5}
     spread = Counter(s for own in cuts.values() for s in set(own))
-    weight = lambda s: 1 + np.log(len(cuts) / spread.get(s, 1))
+    weight = lambda s: 1 + math.log(len(cuts) / spread.get(s, 1))
     w = split(text)
     doc = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
-    best = {}
+    heavy, best = [weight(s) for s in doc], {}
     for k, own in cuts.items():
         have, size = Counter(own), sum(map(weight, own))
+        if sum(c * weight(s) for s, c in (Counter(doc) & have).items()) < (least - 1e-9) * size:
+            continue
         for s in range(len(doc)):
             seen, both, total = Counter(), 0.0, 0.0
             for e in range(s, len(doc)):
                 seen[doc[e]] += 1
-                total += weight(doc[e])
-                both += weight(doc[e]) * (seen[doc[e]] <= have[doc[e]])
+                total += heavy[e]
+                both += heavy[e] * (seen[doc[e]] <= have[doc[e]])
                 score = round(both / (total + size - both), 9)
                 if score >= least:
                     best[k] = min(best.get(k, (0,)), (-score, s, e - s + 5))
@@ -481,3 +484,25 @@ def test_windows_of_any_length_against_brute_force():
         assert {m[0]: m[1:] for m in index.matches(text, 0.8)} == want
         found += len(want)
     assert found > 90 and {7, 20} <= brute_windows(items, texts[0]).keys() and 10 in brute_windows(items, texts[1])
+
+
+def test_passes_over_the_items_give_what_one_does(spark, monkeypatch):
+    rng = random.Random(4)
+    vocab = [f"v{k}" for k in range(300)]
+    draw = lambda n: rng.choices(vocab, k=n)
+    template, other = draw(14), draw(9)
+    items = [(k, " ".join((template if k % 2 else other * (k % 3 == 0)) + draw(rng.randrange(8, 30)))) for k in range(24)]
+    texts = []
+    for _, text in items:
+        own = text.split()
+        for cut in range(0, len(own) // 3, 3):
+            texts += [" ".join(own[cut:]), " ".join(draw(6) + own[: len(own) - cut] + draw(6))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(map(tuple, decontaminate.contaminations(docs, frame).collect()))
+    kept = lambda: sorted(r.doc_id for r in decontaminate.decontaminated(docs, frame).collect())
+    whole, left = found(), kept()
+    assert whole == sorted((d, k, *m) for d, t in enumerate(texts) for k, m in brute_windows(items, t).items())
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 5)
+    assert len(list(decontaminate.passes(frame))) == 5
+    assert found() == whole and kept() == left
