@@ -85,7 +85,8 @@ def spread_of(items: list[tuple[int, str]]) -> Spread:
 class Index:
     """The items of one pass: ``(item_id, text)`` pairs.
 
-    Items of fewer than SHINGLE words have no shingle and match nothing. A shingle weighs
+    An item of fewer than SHINGLE words is one shingle of all its words, which only a text of the same words
+    has; it isn't counted among the items that weights are made from. Other shingles weigh
     1 + ln(items / items that have it), times its repeats; ``spread`` counts the items of all passes
     (by default these are all).
     """
@@ -93,11 +94,14 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], spread: Spread | None = None):
         self.spread = spread_of(items) if spread is None else spread
         self.vocab: dict[bytes, int] = {}
+        self.short: dict[tuple[bytes, ...], list[int]] = {}
         made = []
         for item, text in items:
             words = words_of(text or "")
             if len(words) >= SHINGLE:
                 made.append((item, _shingle_hashes(np.array([self._id(w) for w in words], np.uint64))))
+            elif words:
+                self.short.setdefault(tuple(words), []).append(item)
         self.known = np.unique(np.concatenate([hs for _, hs in made] or [np.zeros(0, np.uint64)]))
         self.known_weight = self.spread.weights(self.known)
         self.ids = [item for item, _ in made]
@@ -127,7 +131,9 @@ class Index:
         Of equal windows the first, then the shortest.
         """
         words = words_of(text)
-        if len(words) < SHINGLE or not self.items:
+        if len(words) < SHINGLE:
+            return [(item, 1.0, 0, len(words)) for item in self.short.get(tuple(words), [])]
+        if not self.items:
             return []
         get = self.vocab.get
         ids = np.array([get(w, 0) for w in words], np.uint64)

@@ -506,3 +506,11 @@ def test_passes_over_the_items_give_what_one_does(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_ITEMS", 5)
     assert len(list(decontaminate.passes(frame))) == 5
     assert found() == whole and kept() == left
+
+
+def test_short_items_match_texts_of_the_same_words(spark):
+    items = spark.createDataFrame([(1, "Forty two."), (2, "forty-two"), (3, "yes"), (4, ""), (5, None), (6, "one two three four")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "forty two"), (2, "it is forty two, they said"), (3, "YES!"), (4, ""), (5, None), (6, "one two three"), (7, "...")], "doc_id long, text string")
+    got = sorted(map(tuple, decontaminate.contaminations(docs, items).collect()))
+    assert got == [(1, 1, 1.0, 0, 2), (1, 2, 1.0, 0, 2), (3, 3, 1.0, 0, 1)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, items).collect()) == [2, 4, 5, 6, 7]
