@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,19 +12,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of an Arrow batch.
-BATCH_ROWS = 512
+#: Most rows and bytes of an Arrow batch in sessions of the registered queries; a batch is held whole.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 #: Rows up to which a checkpointed helper table may be broadcast (about 24 bytes a row).
 BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a session with a local master gets a temporary one, as in tests; any other raises, since
+    executors of a cluster can't see a folder of the driver's machine.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -51,15 +57,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` in batches of at most BATCH_ROWS rows; texts can be long, and a batch is held whole.
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes in this session.
 
-    Lowers the session's limit, which is read when the plan runs.
+    For programs that own their session, as the registered queries do; operators leave the session's settings alone.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < _bytes(spark.conf.get(f"spark.sql.execution.arrow.{key}")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
+def _bytes(setting: str) -> int:
+    found = re.fullmatch(r"(-?\d+)([kmg]?)b?", setting.lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, slices
+from tessera.llm.common import slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A similarity of 0.8 puts fingerprints about 10 bits apart with a deviation of 3, of few shingles up to 16 with 3.5; unrelated texts are 32 apart.
@@ -232,7 +232,7 @@ def spread_over(items: DataFrame, text_col: str = "text") -> Spread:
             made = pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([made, pa.nulls(len(own), pa.int64())])], names=["shingle"])  # a null for each item
 
-    counted = map_arrow(items.select(F.col(f"`{text_col}`").alias("text")), run, schema).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    counted = items.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     got = counted.filter("n > 1 OR shingle IS NULL").toArrow()
     shingle, n = got.column(0), got.column(1).to_numpy()
     none = shingle.is_null().to_numpy()
@@ -281,7 +281,7 @@ def contaminations(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
                 arrays = [b.column(0).take(at), *(pa.array([r[c] for r in rows], kind) for c, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-        return map_arrow(keyed, run, schema)
+        return keyed.mapInArrow(run, schema)
 
     found = [one(index) for index in passes(items)]
     return reduce(DataFrame.union, found) if found else keyed.sparkSession.createDataFrame([], schema)
@@ -297,5 +297,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 yield b.filter(pa.array([not (t and sent.value.matches(t, similarity)) for t in texts], pa.bool_()))
 
-        docs = map_arrow(docs, run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

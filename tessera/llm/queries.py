@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontaminate, mixing, quality, repetition, secret_scan, shards, simhash, tokens, toxicity
-from tessera.llm.common import read
+from tessera.llm.common import bound_batches, read
 
 #: The tokenizer that op7 and the pipeline's last stage use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,7 +77,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality, op2_decontaminate, op3_shards, op4_chat, op5_secrets, op6_toxicity, op7_tokens, op8_simhash, op9_mixing, op10_repetition, pipeline)
-    return {f.__name__: f for f in own}
+    return {f.__name__: _in_bounded_batches(f) for f in own}
+
+
+def _in_bounded_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 #: Chat formatting: lengths and digests follow from the turns.
@@ -96,11 +106,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p GROUP BY conv_id
 """
 
-#: Mixing: the level at which targets stand still, then the rows by hash up to each source's rest.
+#: Mixing: the level at which targets stand still, then the rows by hash up to each source's rest, counted off where they are equal.
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+    CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -119,11 +129,12 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM g
 ), c AS (
   SELECT d.*, source_size, target, copies, target - copies * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto,
-    sum(size) OVER (PARTITION BY d.source, h) AS words
+    sum(size) OVER (PARTITION BY d.source, h) AS words, count(*) OVER (PARTITION BY d.source, h) AS n,
+    row_number() OVER (PARTITION BY d.source, h ORDER BY doc_id, size) AS nth
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 )
 SELECT doc_id, size, source_size, target,
-  CAST(size * (copies + CASE WHEN rest > 0 AND (upto < rest OR (upto - words < rest AND 2 * (rest - (upto - words)) >= words)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (copies + CASE WHEN rest > 0 AND (upto < rest OR (upto - words < rest AND nth <= floor((2 * (rest - (upto - words)) * n + words) / (2 * words)))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, free_name
+from tessera.llm.common import cut, free_name, small
 
 #: Rows of one block of a shard's second permutation, about.
 BLOCK_ROWS = 50_000
@@ -75,7 +76,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 29) -> DataF
     within a shard, as far as the generators go; the seed and the partitions of ``df`` decide. Nulls,
     repeated rows and ties play no part, since rows are told apart by their place; names that ``df`` has
     already get underscores before them. An empty table stays empty. The driver holds shards numbers a
-    partition.
+    partition, which go to the executors as one row a partition. Very long texts are moved, never looked at.
     """
     at, shard, slot = (free_name(df, c) for c in ("place", "shard", "slot"))
     part, pos = F.shiftright(F.col(at), 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
@@ -87,16 +88,12 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 29) -> DataF
     total = sum(counts.values())
     order = sorted(counts)
     matrix = communication_matrix([counts[p] for p in order], shard_sizes(total, shards), seed)
-    ends: list[list[int]] = []
-    for row in matrix:
-        ends.append([sum(row[: k + 1]) for k in range(shards)])
-    by_part = dict(zip(order, ends, strict=True))
-    width = (max(order) + 1) if order else 1
-    text = ";".join(",".join(map(str, by_part.get(p, [0] * shards))) for p in range(width))
-    # the matrix is one literal: an array of each partition's running sums
-    table = F.transform(F.split(F.lit(text), ";"), lambda x: F.split(x, ",").cast("array<long>"))
-    row = F.element_at(table, (part + 1).cast("int"))
-    dealt = placed.withColumn(shard, F.size(F.filter(row, lambda e: e <= pos)).cast("int"))
+    # a row of the matrix for each partition, as running sums; a row's place among them tells its shard
+    of, ends = free_name(df, "matrix_part"), free_name(df, "matrix_ends")
+    listed = [(p, list(accumulate(row))) for p, row in zip(order, matrix, strict=True)]
+    table = df.sparkSession.createDataFrame(listed, f"`{of}` long, `{ends}` array<long>")
+    joined = placed.join(small(table), part == F.col(of))
+    dealt = joined.withColumn(shard, F.size(F.filter(F.col(ends), lambda e: e <= pos)).cast("int")).drop(of, ends)
     # second permutation: random blocks of a shard, then a random order within the block
     blocks = 1 << max(5, math.ceil(math.log2(max(total, 1) / shards / BLOCK_ROWS + 1e-9)) if total else 5)
     block, key, before = (free_name(df, c) for c in ("block", "second_order", "block_start"))

@@ -123,6 +123,29 @@ def test_shards(docs, rows, clashing):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_shards_of_many_partitions_and_of_none(spark):
+    assert shards.shuffle_into_shards(spark.range(0).repartition(3), 4).count() == 0
+    df = spark.range(1000).withColumnRenamed("id", "matrix_part").repartition(300)
+    got = shards.shuffle_into_shards(df, 7).collect()
+    assert sorted(r.matrix_part for r in got) == list(range(1000))
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert sorted(map(len, by.values())) == [142, 143, 143, 143, 143, 143, 143] and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_slots_and_partitions_are_uniform(spark):
+    """Chi-square of slot halves and of shards against the rows' first partitions, over seeds."""
+    df = spark.range(0, 320, numPartitions=4)
+    slots, parts = Counter(), Counter()
+    for seed in range(12):
+        for r in shards.shuffle_into_shards(df, 4, seed).collect():
+            slots[r.id // 80, r.slot // 20] += 1
+            parts[r.id // 80, r.shard] += 1
+    for hits in (slots, parts):
+        assert sum((n - 240) ** 2 / 240 for n in hits.values()) < 35  # 16 cells, 9 degrees of freedom
+
+
 def test_hypergeometric_law():
     rng = random.Random(1)
     draws = [shards.hypergeometric(rng, 30, 50, 20) for _ in range(20_000)]
@@ -211,7 +234,39 @@ def test_secrets(spark, docs):
         assert not listed or set(listed.split(",")) <= set(r.spans.split(","))
     by = {r.doc_id: r for r in got}
     assert "forge" not in by[5_000_010].spans and by[5_000_010].n_copied == 1 and by[5_000_020].spans == "forge:5:49" and by[5_000_020].n_live == 1
+    assert by[5_000_010].verdicts == "forge:4:48:4:4:copied" and by[5_000_020].verdicts == "forge:5:49:1:1:live"
     assert secret_scan.scan(df.limit(0)).count() == 0
+    names = "row value owners repos base more known n id owner repo n_live spans verdicts".split()
+    assert sorted(map(repr, secret_scan.scan(df.select("*", *(F.lit(1).alias(c) for c in names))).collect())) == sorted(map(repr, got))
+
+
+VENDOR_KEYS = {"forge": "glpat-" + "aB3" * 8, "chat": "xoxb-" + "12-ab" * 5, "sk": "sk-proj-" + "Qw3" * 9, "jwt": "eyJ" + "x1" * 6 + ".eyJ" + "y2" * 6 + "." + "z_" * 6, "pem": "-----BEGIN RSA PRIVATE KEY-----\n" + "Zz09" * 15}
+
+
+def test_repositories_and_owners_decide(spark, monkeypatch):
+    rows, want = [], {}
+
+    def put(kind, homes, verdict):  # each value is told apart by its kind and case
+        value = VENDOR_KEYS[kind] + f"{len(want):03d}" * 3
+        for owner, lang in homes:
+            rows.append((len(rows), f"see {value}.", lang, owner))
+            owners, repos = len({h[0] for h in homes}), len(set(homes))
+            want[len(rows) - 1] = (f"{kind}:4:{4 + len(value)}", f"{kind}:4:{4 + len(value)}:{owners}:{repos}:{verdict}", verdict)
+
+    for kind in VENDOR_KEYS:
+        put(kind, [("a", k) for k in "vwxyz"], "live")  # one owner, however many repositories
+        put(kind, [("a", "x"), ("b", "x"), ("b", "y")], "live")
+        put(kind, [("a", "x"), ("b", "x"), ("a", "y"), ("b", "y")], "copied")
+        put(kind, [("a", "x"), ("b", "x"), ("c", "x"), ("c", "x")], "copied")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for _ in range(2):
+        got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+        for d, (span, told, verdict) in want.items():
+            assert got[d].verdicts == told and got[d].spans == (span if verdict == "live" else "")
+            assert (got[d].n_live, got[d].n_copied) == ((1, 0) if verdict == "live" else (0, 1))
+        # again without room for a broadcast, with hot values
+        monkeypatch.setattr(secret_scan, "HOT", 3)
+        monkeypatch.setattr(secret_scan, "small", lambda df: df)
 
 
 # 7: tokens
@@ -288,9 +343,40 @@ def test_mixing(docs, rows, clashing):
     assert all(abs(used[s] - want[s]) <= biggest[s] for s in sizes)
     out = mixing.mixed_documents(clashing)
     assert out.columns == clashing.columns
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0))[0].count() == 0
     assert Counter(r.doc_id for r in out.select("doc_id").collect()) == Counter(r.id for r in got for _ in range(r.times))
 
 
+def test_equal_ids_and_texts_reach_their_targets(spark):
+    rows = [(None, "ten words a b c d e f g h", "null")] * 1000 + [(7, "ten words a b c d e f g h", "equal")] * 1000
+    rows += [(8, f"text number {k} of equal ids", "texts") for k in range(1000)] + [(k, None, None) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7).withColumn("mix_times", F.rand(3))
+    plain, plan = mixing.mix(df)
+    got = mixing.taken(plain, plan).collect()
+    used, want, most = Counter(), {}, {}
+    for r in got:
+        used[r.source] += r["size"] * r.times
+        want[r.source], most[r.source] = r.target, max(most.get(r.source, 0), r["size"])
+        assert 0 <= r.times <= 2
+    assert len(got) == len(rows) and all(abs(used[s] - want[s]) <= most[s] for s in want)
+    assert 0 < plan.filter("more > 0").count()  # budgets do end among equal rows
+    made = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(df).collect())
+    again = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(df.repartition(3)).collect())
+    words_of = Counter()
+    for (_, text, source), k in made.items():
+        words_of[source] += k * len(words(text))
+    assert made == again and all(words_of[s] == used[s] for s in want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 40])
+def test_sources_are_ranked_by_code_point(spark, n):
+    rng = random.Random(n)
+    names = list({None if k == 3 else "".join(rng.choice("aZé😀\uffee ") for _ in range(rng.randrange(4))) for k in range(n)})
+    got = mixing._ranked(spark.createDataFrame([(s, 1) for s in names], "source string, source_size long").repartition(3)).collect()
+    assert [r.source for r in sorted(got, key=lambda r: r["rank"])] == sorted(names, key=lambda s: (s is None, s or ""))
+    assert sorted(r["rank"] for r in got) == list(range(len(names)))
+
+
 # 10: repetition
 
 
