@@ -572,6 +572,59 @@ def test_windows_of_any_length_against_brute_force():
     assert found > 90 and {7, 20} <= brute_windows(items, texts[0]).keys() and 10 in brute_windows(items, texts[1])
 
 
+@pytest.mark.parametrize("entries", [0, 200_000, 10**9])
+def test_blocks_find_all_fingerprints_within_the_radius(monkeypatch, entries):
+    monkeypatch.setattr(decontaminate, "ENTRIES", entries)
+    rng = random.Random(6)
+    index = decontaminate.Index([(k, " ".join(rng.choices("abcdefgh", k=20))) for k in range(120)])
+    assert index.item_flips == {0: 0, 200_000: 2, 10**9: 4}[entries]
+    probes = [rng.getrandbits(64) for _ in range(40)]
+    probes += [int(p) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(24))) for p in index.prints for _ in range(3)]
+    for p in probes:
+        want = [k for k, q in enumerate(index.prints.tolist()) if (p ^ q).bit_count() <= decontaminate.RADIUS]
+        assert index.within_radius(np.array([p], np.uint64)).tolist() == want
+
+
+def test_recall_of_edited_copies_near_the_similarity():
+    """All pairs of an item and a text with a window of similarity 0.8 or more, of any length, by brute force."""
+    rng = random.Random(11)
+    vocab = [f"v{k}" for k in range(500)]
+    draw = lambda n: rng.choices(vocab, k=n)
+    template, items, texts = draw(10), [], []
+    for k in range(60):
+        items.append((k, " ".join(template * (k % 3 == 0) + draw(1 + k))))
+    for _, text in items:
+        own = text.split()
+        for _ in range(10):
+            w = own[rng.randrange(len(own) // 6 + 1) : len(own) - rng.randrange(len(own) // 6 + 1)]
+            for _ in range(rng.randrange(1 + len(w) // 12)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = draw(rng.randrange(1, 3))
+            pad = rng.choice([0, 0, 12])
+            texts.append(" ".join(draw(pad) + w + draw(pad)))
+    index, found, lost, close = decontaminate.Index(items), 0, 0, 0
+    for text in texts:
+        want = brute_windows(items, text)
+        got = {m[0]: m[1:] for m in index.matches(text, 0.8) if m[0] >= 4}
+        assert all(got[k] == want[k] for k in got)
+        found, lost = found + len(got), lost + len(want.keys() - got.keys())
+        close += sum(v[0] < 0.87 for v in want.values())
+    assert close > 60 and found > 180 and lost <= 0.02 * found
+
+
+def test_long_texts_repeated_items_and_clashing_names(spark, docs):
+    rng = random.Random(12)
+    items = [(k, " ".join(f"q{rng.randrange(90)}" for _ in range(25))) for k in range(30)] * 2
+    filler = lambda n: [f"w{rng.randrange(50)}" for _ in range(n)]
+    long = " ".join(w for _, t in items[:30] for w in [*filler(2000), *t.split()])
+    frame = spark.createDataFrame([*items, (50, "Twice in a row"), (50, "twice in a row")], "item_id long, text string").withColumn("similarity", F.lit(1))
+    df = spark.createDataFrame([(1, long), (1, long), (None, items[3][1]), (2, "twice, in a row")], "doc_id long, text string")
+    df = df.select("*", *(F.lit(1).alias(c) for c in ("item_id", "similarity", "id", "item", "first_word", "n_words")))
+    got = Counter((r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminations(df, frame).collect())
+    assert got == Counter({(1, k, 1.0): 4 for k in range(30)} | {(None, 3, 1.0): 2, (2, 50, 1.0): 2})
+    assert decontaminate.decontaminated(df, frame).count() == 0 and decontaminate.decontaminated(df, frame.limit(0)).columns == df.columns
+
+
 def test_passes_over_the_items_give_what_one_does(spark, monkeypatch):
     rng = random.Random(4)
     vocab = [f"v{k}" for k in range(300)]
