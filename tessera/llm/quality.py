@@ -78,12 +78,13 @@ def statistics(text: bytes) -> tuple[float, ...]:
 
 @dataclass
 class Model:
-    """Class log-priors, means and Cholesky factors; None where rows of a class are lacking."""
+    """Class priors, means, Cholesky factors of the covariances and their inverses; None where rows of a class are lacking."""
 
     prior: tuple[float, float]
     mean: np.ndarray | None
     factor: np.ndarray | None
     constant: np.ndarray | None
+    whitening: np.ndarray | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability-like scores of rows of statistics."""
@@ -91,8 +92,8 @@ class Model:
             return np.full(len(x), self.prior[1])
         logs = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factor[k], (x - self.mean[k]).T)
-            logs.append(self.constant[k] - 0.5 * (z**2).sum(0))
+            z = (x - self.mean[k]) @ self.whitening[k].T
+            logs.append(self.constant[k] - 0.5 * (z**2).sum(1))
         return 1.0 / (1.0 + np.exp(((logs[0] - logs[1]) / TEMPERATURE).clip(-50, 50)))
 
 
@@ -152,7 +153,7 @@ def fit(labelled: DataFrame) -> Model:
         own = (1 - RIDGE) * own + RIDGE * (np.trace(own) / p + 1e-6) * np.eye(p)
         factor.append(np.linalg.cholesky(own))
         constant.append(float(np.log(count[k] / sum(count)) - np.log(np.diag(factor[k])).sum()))
-    return Model((count[0] / sum(count), count[1] / sum(count)), np.array(mean), np.array(factor), np.array(constant))
+    return Model((count[0] / sum(count), count[1] / sum(count)), np.array(mean), np.array(factor), np.array(constant), np.linalg.inv(np.array(factor)))
 
 
 def held_out(id_col: str, folds: int = 4, fold: int = 2):

@@ -235,25 +235,34 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         small(cut(near_groups(prints, "fingerprint", radius))), F.col("fingerprint") == F.col("fp"), "left"
     ).select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     rooted = cut(rooted)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    # a fingerprint alone in its component needs no other's first id; the rest is one row a component
+    linked = rooted.filter("root != fingerprint").select("root").distinct()
+    least = cut(rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least")))
+    named = rooted.join(small(least), "root", "left").select("fingerprint", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return prints.join(small(cut(named)), "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """``docs`` with one row of each component: the least by id, then by hash of the text.
 
-    A row with a null id goes only if its component has one with an id. Columns and their order stay.
+    A row with a null id goes only if its component has one with an id. Columns and their order stay. Texts are
+    exchanged once at most, to meet the ids that stay; of rows with equal ids and texts, which only are exchanged
+    again, any one stays.
     """
     mark = free_name(docs, "text_hash")
     keyed = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     prints = cut(fingerprints(keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(mark).alias("h"), F.col(f"`{text_col}`").alias("text"))))
-    rank = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h"))
-    of = prints.groupBy("fingerprint").agg(rank.alias("first"))
+    equal = prints.groupBy("fingerprint", "id", "h").agg(F.count(F.lit(1)).alias("n"))
+    of = equal.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "n")).alias("first"))
     groups = small(cut(near_groups(prints, "fingerprint", radius)))
     rooted = of.join(groups, F.col("fingerprint") == F.col("fp"), "left")
     stay = rooted.groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("first").alias("first"))
-    stay_id, stay_h = free_name(keyed, "stay_id"), free_name(keyed, "stay_hash")
-    stay = stay.select(F.col("first.id").alias(stay_id), F.col("first.h").alias(stay_h))
-    kept = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)) & (F.col(mark) == F.col(stay_h)), "left_semi")
-    return kept.dropDuplicates([id_col, mark]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    stay_id, stay_h, stay_n = (free_name(keyed, c) for c in ("stay_id", "stay_hash", "stay_n"))
+    stay = cut(stay.select(F.col("first.id").alias(stay_id), F.col("first.h").alias(stay_h), F.col("first.n").alias(stay_n)))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)) & (F.col(mark) == F.col(stay_h))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if stay.filter(F.col(stay_n) > 1).isEmpty():
+        return keyed.join(small(stay), same, "left_semi").select(*own)
+    once = keyed.join(small(stay.filter(F.col(stay_n) == 1)), same, "left_semi").select(*own)
+    often = keyed.join(small(stay.filter(F.col(stay_n) > 1)), same, "left_semi")
+    return once.unionByName(often.dropDuplicates([id_col, mark]).select(*own))

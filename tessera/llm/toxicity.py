@@ -25,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import cut, slices
 from tessera.llm.quality import held_out, training_labels
 
 DECAY, SPREAD = 0.6, 0.6
@@ -412,9 +412,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = F.broadcast(some[0].union(some[1]))  # at most 4 * MAX_DOCS rows
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     texts = keyed.join(picked, "id").filter(F.length("text").between(1, MAX_CHARS)).select("id", "label", "text")
-    turn = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(11)), "id", "text")
-    taken = texts.withColumn("nth", F.row_number().over(turn)).filter(F.col("nth") <= MAX_DOCS)
-    rows = taken.orderBy("label", "nth").select("text", "label").collect()  # MAX_DOCS texts a class at most
+    known = cut(texts)  # at most 4 * MAX_DOCS rows
+    turn = F.xxhash64("id", F.lit(11)), "id", "text"
+    rows = [r for k in (0, 1) for r in known.filter(F.col("label") == k).orderBy(*turn).select("text", "label").limit(MAX_DOCS).collect()]
     return fit([(r.text, r.label) for r in rows])
 
 

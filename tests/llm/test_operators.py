@@ -103,6 +103,32 @@ def test_one_document_of_each_group_stays(docs, clashing):
     assert got == sorted(d for d, c in groups.items() if d is not None and d == c)
 
 
+def test_equal_rows_null_ids_and_clashing_names(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (None, "only here with some words"), (None, "only here with some words"), (3, None), (4, ""), (3, None), (5, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    df = df.select("*", *(F.lit(1).alias(c) for c in ("fingerprint", "fp", "root", "first", "h", "id", "n", "stay_n", "component_id", "least")))
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == [(None, "only here with some words"), (1, "a b c d e f"), (3, None), (5, "x")]
+    assert simhash.drop_near_duplicates(df.dropDuplicates(["doc_id", "text"])).count() == 4
+    got = Counter((r.doc_id, r.component_id) for r in simhash.simhash_groups(df).collect())
+    assert got == Counter({(1, 1): 2, (2, 1): 1, (None, 1): 1, (None, None): 2, (3, 3): 2, (4, 3): 1, (5, 5): 1})
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0 and simhash.simhash_groups(df.limit(0)).count() == 0
+
+
+def test_a_wider_radius_loses_no_link(spark):
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    prints = sorted({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(12))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(150)})
+    df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    found = {r.fp % 2**64: r.root % 2**64 for r in simhash.components(simhash.near_links(df, 7)).withColumnsRenamed({"node": "fp"}).collect()}
+    want, got = defaultdict(set), defaultdict(set)
+    for p, r in brute_components(prints, 7).items():
+        want[r].add(p)
+        got[found.get(p, p)].add(p)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 # 3: shards
 
 
@@ -487,6 +513,31 @@ def test_held_out_accuracy(spark, run, column, least):
     assert all(abs(again[r.doc_id] - r.score) < 1e-12 for r in got)  # held-out labels are not looked at
 
 
+def test_discriminant_against_plain_densities(spark):
+    """Scores from class means, shrunk covariances and log-densities that are computed the plain way."""
+    big = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    x = {d: np.rint(np.array(quality.statistics(t)) * quality.SCALE) / quality.SCALE for d, t in texts.items()}
+    rows = {k: np.array([x[d] for d, y in known.items() if y == k and d in x]) for k in (0, 1)}
+    own = {k: np.cov(rows[k].T, bias=True) for k in (0, 1)}
+    n = {k: len(rows[k]) for k in (0, 1)}
+    pooled = (own[0] * n[0] + own[1] * n[1]) / (n[0] + n[1])
+    p = len(quality.NAMES)
+    shrunk = {k: (1 - quality.POOLED) * own[k] + quality.POOLED * pooled for k in (0, 1)}
+    shrunk = {k: (1 - quality.RIDGE) * c + quality.RIDGE * (np.trace(c) / p + 1e-6) * np.eye(p) for k, c in shrunk.items()}
+
+    def density(v, k):
+        apart = v - rows[k].mean(0)
+        return math.log(n[k] / (n[0] + n[1])) - 0.5 * np.linalg.slogdet(shrunk[k])[1] - 0.5 * apart @ np.linalg.inv(shrunk[k]) @ apart
+
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    for d in sorted(got)[::7]:
+        odds = (density(x[d], 1) - density(x[d], 0)) / quality.TEMPERATURE
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-max(min(odds, 50), -50))), abs=1e-6)
+
+
 @pytest.mark.parametrize("run", [quality.quality_scores, toxicity.toxicity_scores])
 def test_classifiers_take_awkward_input(spark, docs, clashing, run):
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
