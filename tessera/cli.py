@@ -1,4 +1,4 @@
-"""``python -m tessera.cli inspect DIR`` prints the newest manifest's fields."""
+"""``python -m tessera.cli inspect DIR`` prints the newest manifest's fields and changes nothing."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def main(args: list[str]) -> int:
         print(f"{args[1]} holds no database", file=sys.stderr)
         return 1
     try:
-        made = Store(args[1]).latest()
+        made = Store(args[1], read_only=True).latest()
     except EngineError as e:
         print(e, file=sys.stderr)
         return 1

@@ -110,7 +110,8 @@ def arithmetic(op: str, left: Typed, right: Typed, exact: bool = False) -> Typed
     if op == "/":
         return Typed(F.try_divide(x, y), "REAL")
     if op == "%":
-        return Typed((x.cast("bigint") % _no_zero(y.cast("bigint"))).cast("double"), "REAL")
+        whole = lambda c: c - c % F.lit(1.0)  # noqa: E731  toward zero, of any size
+        return Typed(whole(x) % F.nullif(whole(y), F.lit(0.0)) + F.lit(0.0), "REAL")
     return Typed(_apply(op, x, y), "REAL")
 
 

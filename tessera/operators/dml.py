@@ -28,9 +28,12 @@ def update_conflicts(old: DataFrame, new: DataFrame, columns: list[str]) -> Data
     keys = [f"k{i}" for i in range(len(columns))]
     some = " AND ".join(f"{k} IS NOT NULL" for k in keys)
     take = lambda df, rowid: df.select(F.col(ROWID).alias(rowid), *(F.col(f"`{c}`").alias(k) for c, k in zip(columns, keys, strict=True))).filter(some)
-    before, after = take(old, "r"), take(new, "s")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    changed = after.alias("a").join(take(old, "s").alias("b"), [F.col("a.s") == F.col("b.s"), *same], "left_anti")
-    later = changed.alias("c").join(before.alias("o"), keys).filter("r > s").select(*keys)
-    earlier = changed.alias("c").join(take(new, "r").alias("o"), keys).filter("r < s").select(*keys)
-    return later.union(earlier)
+    changed = take(new, "s").alias("a").join(take(old, "s").alias("b"), [F.col("a.s") == F.col("b.s"), *same], "left_anti")
+    # a row a key on both sides: no pairs of rows, however many share a key
+    moved = changed.groupBy(*keys).agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    held = take(old, "r").groupBy(*keys).agg(F.max("r").alias("old"))
+    given = take(new, "r").groupBy(*keys).agg(F.min("r").alias("new"))
+    later = moved.join(held, keys).filter(F.col("old") > F.col("first")).select(*keys)
+    earlier = moved.join(given, keys).filter(F.col("new") < F.col("last")).select(*keys)
+    return later.union(earlier).distinct()

@@ -42,7 +42,6 @@ class Scope:
 class Compiled:
     df: DataFrame
     labels: list[str]
-    tree: list[str]  # root first
 
     def renamed(self) -> DataFrame:
         return self.df.toDF(*self.labels)
@@ -215,8 +214,7 @@ class Compiler:
         if wanted != len(self.params):
             raise ParameterCountError(f"{wanted} parameters wanted, {len(self.params)} given")
         scope, df = self.scan(s.tables[0])
-        scopes, tree = [scope], f"SeqScan {s.tables[0].name}"
-        lines = [tree]
+        scopes = [scope]
         for ref in s.tables[1:]:
             scope, right = self.scan(ref)
             scopes.append(scope)
@@ -224,12 +222,10 @@ class Compiler:
                 df = df.crossJoin(right)  # with WHERE, Catalyst makes an equi-join of it
             else:
                 df = df.join(right, self.condition(ref.on, scopes), ref.kind)
-            lines = ["NestedLoopJoin" + " (LEFT)" * (ref.kind == "left"), *_indent(lines), *_indent([f"SeqScan {ref.name}"])]
         if s.where is not None:
             if has_aggregate(s.where):
                 raise UnsupportedFeatureError("an aggregate in WHERE")
             df = df.filter(self.condition(s.where, scopes))
-            lines = ["Filter", *_indent(lines)]
         outputs = [*(s.items or ()), *(e for e, _ in s.order)]
         grouped = bool(s.group) or any(map(has_aggregate, outputs))
         if s.having is not None and not grouped and not has_aggregate(s.having):
@@ -240,11 +236,9 @@ class Compiler:
         known = None
         if grouped:
             df, known = self._grouped(s, df, scopes)
-            lines = ["HashAggregate" + f" [GROUP BY {len(s.group)} key(s)]" * bool(s.group), *_indent(lines)]
             if s.having is not None:
                 df = df.filter(self.condition(s.having, scopes, known))
-                lines = ["Filter", *_indent(lines)]
-        return self._output(s, df, scopes, known, lines)
+        return self._output(s, df, scopes, known)
 
     def _grouped(self, s: n.Select, df: DataFrame, scopes: list[Scope]) -> tuple[DataFrame, dict]:
         if s.items is None:
@@ -272,7 +266,7 @@ class Compiler:
             return df.agg(*aggregates), known
         return (df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()), known
 
-    def _output(self, s: n.Select, df: DataFrame, scopes: list[Scope], known: dict | None, lines: list[str]) -> Compiled:
+    def _output(self, s: n.Select, df: DataFrame, scopes: list[Scope], known: dict | None) -> Compiled:
         if s.items is None:
             items = [(c[0], Typed(F.col(c[1]), c[2])) for t in scopes for c in t.columns if c[0] != ROWID]
             texts = [n.Name("", c[1]) for t in scopes for c in t.columns if c[0] != ROWID]
@@ -301,22 +295,15 @@ class Compiler:
             hidden.append(F.col(rowid).alias(name := self._internal()))
             keys.append(F.col(name).asc())
         df = df.select(*columns, *hidden)
-        lines = ["Project", *_indent(lines)]
         if s.distinct:
             df = df.distinct()
-            lines = ["Distinct", *_indent(lines)]
         if keys:
             df = df.orderBy(*keys)
-            if s.order:
-                named = ", ".join(f"{text_of(e)} {'DESC' if d else 'ASC'}" for e, d in s.order)
-                lines = [f"Sort ({named})", *_indent(lines)]
         if offset:
             df = df.offset(offset)
         if limit is not None:
             df = df.limit(limit)
-        if limit is not None or offset:
-            lines = [" ".join(["Limit", *([str(limit)] if limit is not None else []), *([f"OFFSET {offset}"] if offset else [])]), *_indent(lines)]
-        return Compiled(df.select(*names) if hidden else df, [label for label, _ in items], lines)
+        return Compiled(df.select(*names) if hidden else df, [label for label, _ in items])
 
     def _label(self, e, scopes: list[Scope], known: dict | None) -> str:
         if isinstance(e, n.Name):
@@ -341,7 +328,3 @@ def _params(x):
     elif hasattr(x, "__dataclass_fields__"):
         for f in x.__dataclass_fields__:
             yield from _params(getattr(x, f))
-
-
-def _indent(lines: list[str]) -> list[str]:
-    return [("└─ " if k == 0 else "   ") + line for k, line in enumerate(lines)]

@@ -1,6 +1,9 @@
 """Managed tables, transactions, recovery, locks."""
 
+import subprocess
+import sys
 import threading
+from pathlib import Path
 
 import pytest
 
@@ -87,8 +90,64 @@ def test_analyze_and_explain(con):
     con.execute("ANALYZE")
     assert con.execute("SELECT tbl, idx, stat FROM engine_stat1").fetchall() == [("users", "by_name", "3 1 1")]
     plan = con.execute("EXPLAIN SELECT name, COUNT(*) FROM users WHERE id > 1 GROUP BY name HAVING COUNT(*) > 0 ORDER BY name LIMIT 1").fetchone()[0]
-    assert [line.strip(" └─") for line in plan.splitlines()] == ["Limit 1", "Sort (name ASC)", "Project", "Filter", "HashAggregate [GROUP BY 1 key(s)]", "Filter", "SeqScan users"]
-    assert "actual_rows=2" in con.execute("EXPLAIN ANALYZE SELECT id FROM users WHERE id > 1").fetchone()[0]
+    assert "TakeOrderedAndProject" in plan and "HashAggregate" in plan and "PushedFilters: [IsNotNull(id), GreaterThan(id,1)]" in plan
+    con.execute("ANALYZE users")
+    told = con.execute("EXPLAIN ANALYZE SELECT id FROM users WHERE id > 1").fetchone()[0]
+    assert "actual_rows=2" in told and "Scan parquet" in told
+    with pytest.raises(errors.IntegerOverflowError):  # the statement itself runs
+        con.execute("EXPLAIN ANALYZE SELECT id * 9223372036854775807 FROM users ORDER BY id")
+
+
+def test_counters_tell_what_scans_read(con):
+    con.reset_counters()
+    assert con.execute("SELECT COUNT(*) FROM users").fetchall() == [(3,)]
+    assert con.rows_examined == 3 and con.files_read == 1 and con.bytes_read > 0
+    con.execute("SELECT a.id FROM users a JOIN users b ON a.id = b.id WHERE a.id + b.id > 99").fetchall()
+    assert con.rows_examined == 6  # no row of one side is left, so the other isn't read
+    con.execute("SELECT a.id FROM users a JOIN users b ON a.id = b.id").fetchall()
+    assert con.rows_examined == 12
+    con.reset_counters()
+    assert (con.rows_examined, con.files_read, con.bytes_read) == (0, 0, 0)
+
+
+def test_an_index_lets_lookups_and_ranges_pass_over_most_rows(spark, tmp_path):
+    con = connect(str(tmp_path / "db"), spark)
+    con.execute("CREATE TABLE t (k INTEGER, v TEXT)")
+    store = con.database.store
+    made = store.latest()
+    rows = spark.range(200_000).selectExpr("id AS __rowid", "pmod(id * 7919, 200000) AS k", "uuid() AS v")
+    made["tables"]["t"] |= {"parts": [store.write(rows.repartition(4))], "next": 200_001}
+    store.publish(made)
+    examined = []
+    for _ in range(2):
+        con.reset_counters()
+        assert con.execute("SELECT k FROM t WHERE k = 123456").fetchall() == [(123456,)]
+        assert con.execute("SELECT COUNT(*) FROM t WHERE k > 1000 AND k < 1100").fetchall() == [(99,)]
+        examined.append(con.rows_examined)
+        con.execute("CREATE INDEX by_k ON t (k)") if len(examined) == 1 else None
+    assert examined[0] == 400_000 and examined[1] < 100_000
+    con.execute("UPDATE t SET v = 'x' WHERE k < 10")
+    con.reset_counters()
+    assert con.execute("SELECT v FROM t WHERE k = 9").fetchall() == [("x",)] and con.rows_examined < 100_000
+    con.close()
+
+
+def test_small_parts_are_joined_and_large_ones_left_alone(spark, tmp_path, monkeypatch):
+    con = connect(str(tmp_path / "db"), spark)
+    con.execute("CREATE TABLE t (k INTEGER)")
+    store = con.database.store
+    made = store.latest()
+    large = store.write(spark.range(50_000).selectExpr("id AS __rowid", "id AS k"))
+    made["tables"]["t"] |= {"parts": [large], "next": 50_001}
+    store.publish(made)
+    monkeypatch.setattr("tessera.sources.store.MAX_PARTS", 3)
+    monkeypatch.setattr("tessera.sources.store.SMALL", 10_000)
+    for k in range(5):
+        con.execute("INSERT INTO t VALUES (?)", (-k - 1,))
+    parts = store.latest()["tables"]["t"]["parts"]
+    assert large in parts and len(parts) <= 4
+    assert con.execute("SELECT COUNT(*), MIN(k) FROM t").fetchall() == [(50_005, -5)]
+    con.close()
 
 
 def test_reopen_recovers(spark, con, tmp_path, capsys):
@@ -96,7 +155,7 @@ def test_reopen_recovers(spark, con, tmp_path, capsys):
     con.close()
     (root / "tables" / "part-lost").mkdir()
     (root / "_log" / ".tmp-x").write_text("{")
-    (root / "_log" / "99.json").write_text("{ torn")
+    assert cli.main(["inspect", str(root)]) == 0 and (root / "tables" / "part-lost").exists()
     again = connect(str(root), spark)
     assert again.execute("SELECT COUNT(*) FROM users").fetchone() == (3,)
     assert not (root / "tables" / "part-lost").exists() and not list((root / "_log").glob(".tmp*"))
@@ -105,6 +164,74 @@ def test_reopen_recovers(spark, con, tmp_path, capsys):
     assert cli.main(["inspect", str(tmp_path)]) == 1
 
 
+def test_a_damaged_newest_manifest_raises_and_deletes_nothing(spark, con, tmp_path, capsys):
+    root = tmp_path / "db"
+    con.close()
+    newest = max((root / "_log").glob("*.json"), key=lambda p: int(p.stem))
+    whole, before = newest.read_text(), sorted(root.rglob("*.parquet"))
+    newest.write_text(whole[:40])
+    for _ in range(2):
+        with pytest.raises(errors.CorruptDatabaseError):
+            connect(str(root), spark)
+    assert cli.main(["inspect", str(root)]) == 1 and "can't be read" in capsys.readouterr().err
+    assert sorted(root.rglob("*.parquet")) == before and before
+    newest.write_text(whole)
+    again = connect(str(root), spark)
+    assert again.execute("SELECT COUNT(*) FROM users").fetchone() == (3,)
+    again.execute("INSERT INTO users VALUES (4, 'eve', -1, NULL)")
+    again.close()
+
+
+def test_inspecting_leaves_an_open_transaction_able_to_commit(con, tmp_path, capsys):
+    con.execute("BEGIN")
+    con.execute("UPDATE users SET id = id + 100")
+    assert cli.main(["inspect", str(tmp_path / "db")]) == 0 and "next row 4" in capsys.readouterr().out
+    con.execute("COMMIT")
+    assert con.execute("SELECT MIN(id) FROM users").fetchone() == (101,)
+
+
+def test_one_process_at_a_time(con, tmp_path):
+    script = f"import sys; sys.path.insert(0, {str(Path(cli.__file__).parent.parent)!r}); from tessera.sources.store import Store; Store({str(tmp_path / 'db')!r})"
+    refused = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True)
+    assert refused.returncode == 1 and "is open in another process" in refused.stderr
+    con.execute("INSERT INTO users VALUES (4, 'eve', -1, NULL)")
+    con.close()
+    assert subprocess.run([sys.executable, "-c", script], capture_output=True).returncode == 0
+
+
+def test_a_lost_part_stops_the_commit(con, tmp_path):
+    con.execute("BEGIN")
+    con.execute("INSERT INTO users VALUES (4, 'eve', -1, NULL)")
+    part = con.database.store.latest()["tables"]["users"]["parts"][0]
+    (tmp_path / "db" / "tables" / part).rename(tmp_path / "elsewhere")
+    with pytest.raises(errors.CorruptDatabaseError):
+        con.execute("COMMIT")
+    (tmp_path / "elsewhere").rename(tmp_path / "db" / "tables" / part)
+    assert con.execute("SELECT COUNT(*) FROM users").fetchone() == (3,)
+
+
+@pytest.mark.parametrize(("sql", "want"), [("1e300 % 7", 1e300 % 7), ("-7.5 % 2", -1.0), ("7.5 % -2.9", 1.0), ("5.0 % 0.5", None), ("-4.0 % 2", 0.0), ("9e18 % 10", 0.0)])
+def test_real_remainders_of_any_size(con, sql, want):
+    assert con.execute(f"SELECT {sql} FROM users WHERE id = 1").fetchall() == [(want,)]
+
+
+def test_an_update_to_one_value_is_found_without_pairing_rows(spark):
+    from tessera.operators import dml
+
+    old = spark.range(300_000).selectExpr("id AS __rowid", "id AS k")
+    new = old.selectExpr("__rowid", "CAST(5 AS BIGINT) AS k")
+    assert [tuple(r) for r in dml.update_conflicts(old, new, ["k"]).collect()] == [(5,)]
+
+
+def test_errors_name_their_cause(con):
+    from py4j.protocol import Py4JJavaError
+    from tessera.session import translated
+
+    with pytest.raises(Py4JJavaError) as e:
+        con.spark._jvm.java.util.ArrayList().get(3)
+    assert "Index 3 out of bounds" in str(translated(e.value))
+
+
 def test_a_crash_before_the_link_changes_nothing(spark, con, tmp_path, monkeypatch):
     monkeypatch.setattr(Store, "publish", lambda *a: (_ for _ in ()).throw(OSError("crash")))
     with pytest.raises(OSError, match="crash"):
