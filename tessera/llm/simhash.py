@@ -236,8 +236,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ).select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     rooted = cut(rooted)
     # a fingerprint alone in its component needs no other's first id; the rest is one row a component
-    linked = rooted.filter("root != fingerprint").select("root").distinct()
-    least = cut(rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least")))
+    sums = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = cut(sums.filter("n > 1").select("root", "least"))
     named = rooted.join(small(least), "root", "left").select("fingerprint", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(small(cut(named)), "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
