@@ -5,12 +5,15 @@ t_1..t_m (-1 or more) whose t_i + 1 add up to r + 1, the two differ by at most t
 Groups hold correlated bits, a dynamic program picks the thresholds (and m) that make the signatures and
 the estimated candidate pairs cheapest, and every candidate is verified on all 64 bits. The plan changes
 the cost only, never the links.
+
+For near copies by a similarity of word shingles, fingerprints over distinct shingles are probed with a wider
+radius, and candidates verified by a sketch that goes along: three more fingerprints and the number of shingles.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -28,26 +31,35 @@ BITS = 64
 PLAN_SAMPLE = 2048
 #: Members of a bucket that one step compares; larger buckets are split into pairs of blocks.
 BLOCK = 4096
-#: Cost of a signature row against a compared pair.
-SIGNATURE_COST, PAIR_COST = 1.0, 0.02
+#: The same where candidates are verified by sketches: the wider radius has larger buckets.
+SKETCH_BLOCK = 16384
+#: Cost of a signature row (some microseconds) against a compared pair (some nanoseconds).
+SIGNATURE_COST, PAIR_COST = 1.0, 0.0003
+#: More fingerprints in a sketch, and the bits of all with the one that is probed.
+MORE = ("s1", "s2", "s3")
+SKETCH_BITS = BITS * (1 + len(MORE))
 _SLICE = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """SimHash of ``text``: A-Z lower-cased, words between ASCII white space, shingles with repeats.
+def shingle_hashes(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of ``text``: A-Z lower-cased, words between ASCII white space, with repeats.
 
-    Fewer words than a shingle has: the whole sequence is the one shingle. No word: 0.
+    Fewer words than a shingle has: the whole sequence is the one shingle. No word: no shingle.
     """
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:e], seed) for a, e in spans], np.uint64)
+    return np.array([digest(joined[a:e], seed) for a, e in spans], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of ``hashes``; 0 for none."""
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), _SLICE):
         part = hashes[k : k + _SLICE]
@@ -55,17 +67,61 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    """SimHash of ``text`` over its shingles with repeats; 0 if it has no word."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """``hashes`` through the SplitMix64 finaliser, a different function for each ``k``."""
+    z = hashes + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def sketch(text: bytes, words: int = 5, seed: int = 42) -> list[int]:
+    """SimHash over distinct shingles, as many more from other hashes as MORE names, and the number of shingles."""
+    hashes = np.unique(shingle_hashes(text, words, seed))
+    return [majority(hashes), *(majority(_mixed(hashes, k + 1)) for k in range(len(MORE))), len(hashes)]
+
+
+def similar(apart: np.ndarray, a: np.ndarray | int, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether shingle sets of ``a`` and ``b`` members have the Jaccard ``similarity``, from differing sketch bits.
+
+    Bits differ with the angle between the sets, whose cosine gives the members in common. No similarity is
+    above the ratio of the sizes, so a pair that fails by size fails for certain.
+    """
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    common = np.cos(np.pi * apart / SKETCH_BITS) * np.sqrt(a * b)
+    return (np.minimum(a, b) >= similarity * np.maximum(a, b)) & (common >= similarity * (a + b - common))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """The columns of ``docs`` without the text, and ``fingerprint`` (signed long). Null text: as empty."""
-    rest = [c for c in docs.columns if c != text_col]
     name = free_name(docs, "fingerprint")
-    slim = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").cast("binary").alias(name))
-    schema = slim.drop(name).schema.add(name, "long")
+    return _printed(docs, text_col, [name], lambda text: [fingerprint(text, words, seed)])
+
+
+def sketches(docs: DataFrame, text_col: str = "text", words: int = 5, seed: int = 42) -> DataFrame:
+    """The columns of ``docs`` without the text, and the longs ``fingerprint, s1, s2, s3, shingles`` of ``sketch``."""
+    names = [free_name(docs, c) for c in ("fingerprint", *MORE, "shingles")]
+    return _printed(docs, text_col, names, lambda text: sketch(text, words, seed))
+
+
+def _printed(docs: DataFrame, text_col: str, names: list[str], make: Callable[[bytes], list[int]]) -> DataFrame:
+    rest = [c for c in docs.columns if c != text_col]
+    slim = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").cast("binary").alias(names[0]))
+    schema = slim.drop(names[0]).schema
+    for name in names:
+        schema = schema.add(name, "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            made = np.array([fingerprint(t or b"", words, seed) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made.view(np.int64))], names=[*rest, name])
+            texts = b.column(b.num_columns - 1).to_pylist()
+            made = np.array([make(t or b"") for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
+            own = [pa.array(made[:, k].copy()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=[*rest, *names])
 
     return slim.mapInArrow(run, schema)
 
@@ -126,64 +182,80 @@ def plan(sample: np.ndarray, n: int, radius: int = 4) -> list[tuple[tuple[int, .
     return [(g, t) for g, t in best[1] if t >= 0]
 
 
-def link_bucket(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def link_bucket(rows: np.ndarray, radius: int, similarity: float | None = None) -> list[tuple[int, int]]:
     """Edges (fingerprint, root) that connect what is connected within ``radius`` in one bucket.
 
-    A search that removes what it reaches: a dense group costs its size times the few left outside.
+    ``rows`` are fingerprints, or with a ``similarity`` rows of fingerprint, more fingerprints and number of shingles,
+    which then decide too. A search that removes what it reaches: a dense group costs its size times the few left
+    outside. Members without a fingerprint near them are left out of it first.
     """
-    rest = np.unique(fps.view(np.uint64))
-    if len(rest) <= 256:
-        near = np.bitwise_count(rest[:, None] ^ rest[None, :]) <= radius
-        rest = rest[near.sum(1) > 1]
+    rows = rows.reshape(len(rows), -1).view(np.uint64)
+    rest, first = np.unique(rows[:, 0], return_index=True)
+    left, step = np.zeros(len(rest), bool), max(1, (1 << 16) // len(rest))
+    for k in range(0, len(rest), step):  # each pair once, a chunk against itself and what follows
+        close = np.bitwise_count(rest[k : k + step, None] ^ rest[None, k:]) <= radius
+        paired = close.sum(1) > 1
+        if paired.any():
+            left[k : k + step] |= paired
+            left[k + step :] |= close[:, step:].any(0)
+    rest, rows = rest[left], rows[first[left]]
+
+    def near(u: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(rest ^ u[0])
+        found = apart <= radius
+        if similarity is not None and (at := np.flatnonzero(found)).size:
+            more = np.bitwise_count(rows[at, 1:-1] ^ u[1:-1]).sum(1, dtype=np.int64)
+            found[at] = similar(apart[at] + more, u[-1], rows[at, -1], similarity)
+        return found
+
     edges: list[tuple[int, int]] = []
     while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        todo = [root]
+        root, todo = rest[0], [rows[0]]
+        rest, rows = rest[1:], rows[1:]
         while todo and len(rest):
-            near = np.bitwise_count(rest ^ todo.pop()) <= radius
-            if near.any():
-                found, rest = rest[near], rest[~near]
-                todo.extend(found)
-                edges.extend((v, root) for v in found)
+            found = near(todo.pop())
+            if found.any():
+                edges.extend((v, root) for v in rest[found])
+                todo.extend(rows[found])
+                rest, rows = rest[~found], rows[~found]
     return edges
 
 
-def _linker(radius: int):
+def _linker(radius: int, similarity: float | None):
     def emit(edges: list) -> pa.RecordBatch:
         both = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["u", "v"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the open bucket; batches come sorted by key
+        held = None  # the open bucket; batches come sorted by key
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
-            fps = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
-            if held:
-                key = np.concatenate([held[0], key], axis=1)
-                fps = np.concatenate([held[1], fps])
-            at = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1))
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
+            if held is not None:
+                rows = np.concatenate([held, rows])
+            at = np.concatenate(([0], np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1))
             edges: list = []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if e - s > 1:
-                    edges += link_bucket(fps[s:e], radius)
-            held = [key[:, at[-1] :], fps[at[-1] :]]
+                    edges += link_bucket(np.ascontiguousarray(rows[s:e, 4:]), radius, similarity)
+            held = rows[at[-1] :]
             if edges:
                 yield emit(edges)
-        if held and (edges := link_bucket(held[1], radius)):
+        if held is not None and (edges := link_bucket(np.ascontiguousarray(held[:, 4:]), radius, similarity)):
             yield emit(edges)
 
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
     """Edges ``u, v`` that connect all fingerprints of ``distinct(fp)`` within ``radius`` bits.
 
+    With a ``similarity``, ``distinct`` has the other columns of a sketch after ``fp``, and links have that similarity.
     Rows grow with members of buckets, not with pairs. A bucket with k > ``block`` members is dealt to
     every pair of its ceil(k / block) blocks, so that no step holds more than two blocks.
     """
-    n = distinct.count()
+    n, carried = distinct.count(), distinct.columns
     by_hash = distinct.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE)
     sample = np.array(sorted(r.fp for r in by_hash.collect()), np.int64).view(np.uint64)
     probes = [
@@ -192,33 +264,41 @@ def near_links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> Data
         for flip in flips(bits, t)
     ]
     listed = F.array(*(F.struct(F.lit(k).alias("g"), F.lit(m).alias("mask"), F.lit(x).alias("flip")) for k, m, x in probes))
-    signed = distinct.select("fp", F.inline(listed)).select(
-        "g", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("key"), "fp"
+    signed = distinct.select(*carried, F.inline(listed)).select(
+        "g", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("key"), *carried
     )
     sizes = signed.groupBy("g", "key").count().filter(F.col("count") > block)
     hot = cut(sizes.select("g", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     if hot.isEmpty():
-        dealt = signed.select("g", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp")
+        dealt = signed.select("g", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), *carried)
     else:
         own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
         dealt = (
             signed.join(small(hot), ["g", "key"], "left")
-            .select("g", "key", "fp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-            .select("g", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            .select("g", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+            .select("g", "key", *carried, F.coalesce("blocks", F.lit(1)).alias("blocks"))
+            .select("g", "key", *carried, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("g", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *carried)
         )
     keys = ["g", "key", "x", "y"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(radius), "u long, v long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(radius, similarity), "u long, v long")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_groups(prints: DataFrame, by: str = "fingerprint", radius: int = 4) -> DataFrame:
-    """``fp`` and ``root`` for each distinct fingerprint of ``prints`` that has a neighbour below its root."""
-    distinct = cut(prints.select(F.col(by).alias("fp")).filter(F.col("fp").isNotNull()).distinct())
-    return components(near_links(distinct, radius)).withColumnsRenamed({"node": "fp"})
+def near_groups(prints: DataFrame, by: str = "fingerprint", radius: int = 4, similarity: float | None = None) -> DataFrame:
+    """``fp`` and ``root`` for each distinct fingerprint of ``prints`` that has a neighbour below its root.
+
+    With a ``similarity``, ``prints`` are sketches; of sketches with one fingerprint the least speaks for all.
+    """
+    known = prints.filter(F.col(by).isNotNull())
+    if similarity is None:
+        links = near_links(cut(known.select(F.col(by).alias("fp")).distinct()), radius)
+    else:
+        least = known.groupBy(F.col(by).alias("fp")).agg(F.min(F.struct(*MORE, "shingles")).alias("least"))
+        links = near_links(cut(least.select("fp", "least.*")), radius, SKETCH_BLOCK, similarity)
+    return components(links).withColumnsRenamed({"node": "fp"})
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
@@ -242,19 +322,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(small(cut(named)), "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, similarity: float | None = None
+) -> DataFrame:
     """``docs`` with one row of each component: the least by id, then by hash of the text.
 
+    Without a ``similarity`` the links are those of ``simhash_groups``. With one, rows link whose fingerprints over
+    distinct five-word shingles are within ``radius`` and whose sketches tell at least that similarity; texts without
+    a word link with each other only.
     A row with a null id goes only if its component has one with an id. Columns and their order stay. Texts are
     exchanged once at most, to meet the ids that stay; of rows with equal ids and texts, which only are exchanged
     again, any one stays.
     """
     mark = free_name(docs, "text_hash")
     keyed = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    prints = cut(fingerprints(keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(mark).alias("h"), F.col(f"`{text_col}`").alias("text"))))
+    slim = keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(mark).alias("h"), F.col(f"`{text_col}`").alias("text"))
+    prints = cut(fingerprints(slim) if similarity is None else sketches(slim))
     equal = prints.groupBy("fingerprint", "id", "h").agg(F.count(F.lit(1)).alias("n"))
     of = equal.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "n")).alias("first"))
-    groups = small(cut(near_groups(prints, "fingerprint", radius)))
+    groups = small(cut(near_groups(prints, "fingerprint", radius, similarity)))
     rooted = of.join(groups, F.col("fingerprint") == F.col("fp"), "left")
     stay = rooted.groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("first").alias("first"))
     stay_id, stay_h, stay_n = (free_name(keyed, c) for c in ("stay_id", "stay_hash", "stay_n"))

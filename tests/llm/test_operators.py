@@ -128,6 +128,68 @@ def test_a_wider_radius_loses_no_link(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def brute_shingles(text):
+    w = [x.lower() for x in words(text)]
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_texts_keep_one(spark):
+    """Edited copies against unlike texts: what goes has a text of similarity near 0.8 before it, most that have one go."""
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))) for _ in range(60)]
+    texts = list(base)
+    for k, text in enumerate(base):
+        for edits in (1, len(text.split()) // 60, len(text.split()) // 8):
+            w = text.split()
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = f"x{at}"
+            texts.append(" ".join(w))
+        texts.append(" ".join(text.split()[: len(text.split()) // 2]) + f" {base[k - 1]}")
+    texts += ["", None, " \t", "one", "one two", "three four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    df = df.select("*", *(F.lit(1).alias(c) for c in ("s1", "s2", "s3", "shingles", "fingerprint", "fp", "stay_id")))
+    kept = simhash.drop_near_duplicates(df, radius=12, similarity=0.8)
+    assert kept.columns == df.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    sets = [brute_shingles(t) for t in texts]
+    best = [max((len(s & o) / max(1, len(s | o)) for o in sets[:k]), default=0) if s else 0 for k, s in enumerate(sets)]
+    blank = [k for k, s in enumerate(sets) if not s]
+    assert ids & set(blank) == {blank[0]}
+    gone = [k for k in range(len(texts)) if k not in ids and sets[k]]
+    assert all(best[k] >= 0.7 for k in gone)
+    near = [k for k, b in enumerate(best) if b >= 0.8]
+    assert len(near) >= 100 and sum(k not in ids for k in near) >= 0.9 * len(near)
+
+
+def test_sketches_link_as_by_brute_force(docs, rows):
+    made = [simhash.sketch((r["text"] or "").encode()) for r in rows]
+    least = {}
+    for fp, *more in made:
+        least[fp] = min(least.get(fp, more), more, key=lambda m: [simhash._signed(x) for x in m])
+    root = {p: p for p in least}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    listed = sorted(least)
+    for i, a in enumerate(listed):
+        for b in listed[:i]:
+            apart = (a ^ b).bit_count()
+            if apart <= 12:
+                apart += sum((x ^ y).bit_count() for x, y in zip(least[a][:-1], least[b][:-1], strict=True))
+                if simhash.similar(np.array([apart]), least[a][-1], np.array([least[b][-1]]), 0.8)[0]:
+                    root[find(a)] = find(b)
+    first = {}
+    for r, (fp, *_) in zip(rows, made, strict=True):
+        if r["doc_id"] is not None:
+            first[find(fp)] = min(first.get(find(fp), r["doc_id"]), r["doc_id"])
+    kept = simhash.drop_near_duplicates(docs, radius=12, similarity=0.8).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(first.values())
+    assert simhash.drop_near_duplicates(docs.limit(0), radius=12, similarity=0.8).count() == 0
+
+
 # 3: shards
 
 

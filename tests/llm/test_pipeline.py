@@ -18,8 +18,8 @@ def test_stages(spark, docs, tmp_path):
         assert s.columns == docs.columns
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     assert ids[1] == sorted(r.doc_id for r in quality.quality_scores(docs, labels).filter("predicted = 1 and doc_id is not null").collect())
-    groups = simhash.simhash_groups(steps[1], radius=corpus_pipeline.RADIUS).collect()
-    assert ids[2] == sorted({r.component_id for r in groups if r.component_id is not None})
+    one = simhash.drop_near_duplicates(steps[1], radius=corpus_pipeline.RADIUS, similarity=corpus_pipeline.SIMILARITY)
+    assert ids[2] == sorted(r.doc_id for r in one.select("doc_id").collect() if r.doc_id is not None)
     leaks = {r.doc_id for r in decontaminate.contaminations(steps[2], spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
     assert ids[3] == [d for d in ids[2] if d not in leaks]
     assert set(ids[4]) <= set(ids[3]) and ids[5] == ids[4]
