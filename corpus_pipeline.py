@@ -13,9 +13,10 @@ from tessera.llm.common import bound_batches, new_path, read
 from tessera.llm.queries import tokenizer_path
 
 
-#: Bits that fingerprints of near copies differ in at most; of pairs with a five-word similarity of 0.8 or more in the
-#: test tables, half are within 6 and a fifth within 4, and a hundredth of the pairs 6 apart have less than 0.5.
-RADIUS = 6
+#: Near copies have this similarity of their five-word shingles, or more.
+SIMILARITY = 0.8
+#: Bits that their fingerprints differ in at most; of the pairs with that similarity in the test tables, 95 % do.
+RADIUS = 12
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     bound_batches(spark)
-    return simhash.drop_near_duplicates(docs, radius=RADIUS)
+    return simhash.drop_near_duplicates(docs, radius=RADIUS, similarity=SIMILARITY)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
