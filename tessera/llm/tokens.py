@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,9 @@ LAYOUT = {
 }
 #: Pieces that one Python worker keeps the ids of, and the length (characters) up to which some stay when there are
 #: more; results don't depend on them.
-CACHE, SHORT = 700_000, 7
+CACHE, SHORT = 700_000, 8
+#: Bytes of texts that are encoded together, and pieces whose ids are put in place at a time.
+TOGETHER, PLACED = 4 << 20, 1 << 17
 _loaded: dict[str, Encoder] = {}
 
 
@@ -42,7 +43,9 @@ class Encoder:
 
     A byte-level pre-tokenizer never joins a character that isn't white space to a space or new line after
     it, so a text cut before these encodes to the pieces' ids in a row, as long as they stand alone (or are
-    two new lines). Other texts, and tokenizers of another kind, are encoded whole.
+    two new lines). Other texts, and tokenizers of another kind, are encoded whole. Punctuation between a
+    letter or digit and a space is a piece of its own. The pieces of many texts are cut and told apart
+    in Arrow's buffers, so that only different ones become Python objects.
     """
 
     def __init__(self, path: str):
@@ -64,14 +67,15 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in made.get("added_tokens") or [])
             and (made.get("model") or {}).get("dropout") is None
         )
-        self.added, self.kept, self.ends = added, {}, {}
+        self.added, self.kept = added, {}
         # how the byte-level alphabet writes the bytes of letters up to U+024F; checked before it is relied on
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-        self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        shown = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.letters = "".join(shown.get(b, chr(b)) for b in range(256))
         for word in ("Word", "étàœß", "ÿŁőŸŐ"):
-            shown = "\u0120" + word.encode().decode("latin-1").translate(self.letters)
-            if np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes() != self._whole(f" {word}"):
-                self.letters = {}
+            as_shown = "\u0120" + word.encode().decode("latin-1").translate(self.letters)
+            if np.array([t.id for t in self.tokenizer.model.tokenize(as_shown)], "<u4").tobytes() != self._whole(f" {word}"):
+                self.letters = ""
                 break
         self.tails = all(t.startswith("<|") and t.endswith("|>") for t in added)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -83,107 +87,152 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _joined(self, pieces: list[str], lead: str) -> dict[str, bytes]:
-        """The ids of each printable piece after ``lead``; one call encodes many, a new line between them.
+    def _joined(self, bodies: list[str], lead: str) -> list[bytes]:
+        """The ids of each printable string after ``lead``; one call encodes many, a new line between them.
 
         A new line alone between characters other than white space, or before a space, is a token of its own.
         """
-        out: dict[str, bytes] = {}
-        for k in range(0, len(pieces), 500):
-            part = pieces[k : k + 500]
-            text = lead + f"\n{lead}".join(part)
+        out: list[bytes] = []
+        for k in range(0, len(bodies), 500):
+            text = lead + f"\n{lead}".join(bodies[k : k + 500])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.line_id), len(ids)) * 4
             raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 4)
-            out.update(zip(part, [raw[a:e] for a, e in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+            out += [raw[a:e] for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
         return out
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of each piece: after a space, or, where it begins with LINE, after a new line.
+        """The ids of each piece: after a space or, where LINED begins it, after a new line, whose id comes first.
 
         Letters alone are one pre-token, which the library's model takes as it is; other pieces go through
         the whole tokenizer, many at a time.
         """
         out: dict[str, bytes] = {}
-        after, plain, model, pack = [], [], self.tokenizer.model, struct.pack
+        after, plain, words, ids, ends = [], [], [], [], [0]
+        tokenize, letters, line_id = self.tokenizer.model.tokenize, self.letters, self.line_id
         for p in pieces:
-            line = p[:1] == LINE
-            body = p[1:] if line else p
-            if self.letters and body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+            if p[0] != " ":  # punctuation after a letter or digit
+                out[p] = self._whole(p)
+                continue
+            line = p[1:2] == LINE
+            body = p[2:] if line else p[1:]
+            if letters and body.isalpha() and (body.isascii() or max(body) < "\u0250"):
                 if not body.isascii():
-                    body = body.encode().decode("latin-1").translate(self.letters)
-                ids = [t.id for t in model.tokenize(body if line else f"\u0120{body}")]
-                made = pack(f"<{len(ids)}I", *ids)
-                out[p] = self.line + made if line else made
+                    body = body.encode().decode("latin-1").translate(letters)
+                if line:
+                    ids.append(line_id)
+                ids += [t.id for t in tokenize(body if line else f"\u0120{body}")]
+                words.append(p)
+                ends.append(len(ids) * 4)
             elif body.isprintable() and body:
                 (after if line else plain).append(body)
+        raw = np.array(ids, "<u4").tobytes()
+        out.update(zip(words, [raw[a:e] for a, e in pairwise(ends)], strict=True))
         if any(m in text for text in ("\n".join(after), "\n".join(plain)) for m in self.added):
             after, plain = [], []  # a special token's string is among them: one by one
-        out.update((LINE + p, self.line + ids) for p, ids in self._joined(after, "").items())
-        out |= self._joined(plain, " ")
+        out.update((LINED + p, self.line + made) for p, made in zip(after, self._joined(after, ""), strict=True))
+        out.update((f" {p}", made) for p, made in zip(plain, self._joined(plain, " "), strict=True))
         for p in pieces:
             if p not in out:
-                out[p] = self._whole("\n" + p[1:] if p[:1] == LINE else f" {p}")
+                out[p] = self._whole("\n" + p[2:] if p[1:2] == LINE else p)
         return out
 
-    def _fill(self, pieces: list[str], ids: list[bytes | None]) -> None:
-        """Puts in the ids that lack; punctuation after a letter or digit is encoded apart from what is before it."""
-        kept, need, later = self.kept, {}, []
-        for i in [i for i, v in enumerate(ids) if v is None]:
-            p = pieces[i]
-            base = p.rstrip(_TAIL) if self.tails else p
-            if len(base) == len(p) or not (base and base[-1] < "\u0250" and base[-1].isalnum()):
-                base = p
-            have = kept.get(base) if base is not p else None
-            if have is None:
-                need[base] = None
-                later.append((i, base, p[len(base) :]))
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of the pieces, which all differ."""
+        kept = self.kept
+        ids = list(map(kept.get, pieces))
+        if None in ids:
+            extra = self._learn([p for p, have in zip(pieces, ids, strict=True) if have is None])
+            ids = [extra[p] if have is None else have for p, have in zip(pieces, ids, strict=True)]
+            if len(kept) + len(extra) > CACHE:  # short pieces are the likelier to come again
+                short = [(p, b) for p, b in kept.items() if len(p) <= SHORT][: CACHE // 2]
+                kept.clear()
+                kept.update(short)
+            kept.update(extra)
+        return ids
+
+    def _cut(self, raw: bytes) -> np.ndarray:
+        """Where pieces begin in ``raw``: at spaces, and at punctuation from a letter or digit to a space.
+
+        Runs of more than eight punctuation characters stay with what is before them.
+        """
+        text = np.frombuffer(raw, np.uint8)
+        spaces = np.flatnonzero(text == 32)
+        if not self.tails:
+            return spaces
+        at = np.flatnonzero(_IN_TAIL[text])
+        one, two = text[at - 1], text[at - 2].astype(np.int32)  # raw begins with a space and LINE
+        wide = (one >= 0x80) & (one < 0xC0) & (two >= 0xC2) & (two <= 0xC9)
+        point = np.where(wide, (two & 0x1F) << 6 | one & 0x3F, np.where(one < 0x80, one, 0))
+        at = at[_ALNUM[point]]
+        after, cuts = at + 1, []
+        for _ in range(8):
+            ended = (after >= len(text)) | (text[np.minimum(after, len(text) - 1)] == 32)
+            cuts.append(at[ended])
+            at, after = at[~ended], after[~ended]
+            more = _IN_TAIL[text[after]]
+            at, after = at[more], after[more] + 1
+        return np.sort(np.concatenate([spaces, *cuts]), kind="stable")
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one to be overwritten before each text's, and where these ones are, with the end."""
+        whole, marked = {}, []
+        for i, t in enumerate(texts):
+            if not self.by_piece or _whole_only(t):
+                whole[i] = b"\0\0\0\0" + self._whole(t)
+                marked.append(LINE.encode())
             else:
-                ids[i] = have + self._tail(p[len(base) :])
-        extra = self._learn(list(need))
-        for i, base, tail in later:
-            ids[i] = extra[base] + self._tail(tail) if tail else extra[base]
-        if len(kept) + len(extra) > CACHE:  # short pieces are the likelier to come again
-            short = [(p, b) for p, b in kept.items() if len(p) <= SHORT][: CACHE // 2]
-            kept.clear()
-            kept.update(short)
-        kept.update(extra)
-
-    def _tail(self, text: str) -> bytes:
-        if text not in self.ends:
-            self.ends[text] = self._whole(text)
-            if len(self.ends) > 10_000:
-                self.ends = {text: self.ends[text]}
-        return self.ends[text]
+                marked.append(f"{LINE}{t}".replace("\n", LINED).encode())  # a text begins as if after a new line
+        sizes = np.array([len(m) + 1 for m in marked], np.int64)
+        raw = b" " + b" ".join(marked)
+        del marked
+        cuts = self._cut(raw)
+        firsts = np.searchsorted(cuts, np.cumsum(sizes) - sizes)
+        made = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        del raw, cuts
+        piece = made.indices.to_numpy()
+        known = self._known(made.dictionary.to_numpy(zero_copy_only=False).tolist())
+        if whole:
+            piece = piece.copy()
+            piece[firsts[list(whole)]] = len(known) + np.arange(len(whole))
+            known += whole.values()
+        n = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        pool, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(n) - n
+        ids, at, begins = [], 0, []
+        for k in range(0, len(piece), PLACED):
+            part = piece[k : k + PLACED]
+            lens = n[part]
+            ends = np.cumsum(lens)
+            ids.append(pool[np.repeat(starts[part] - ends + lens, lens) + np.arange(ends[-1])])
+            lo, hi = np.searchsorted(firsts, (k, k + PLACED))
+            begins.append(at + (ends - lens)[firsts[lo:hi] - k])
+            at += int(ends[-1])
+        return np.concatenate(ids), np.concatenate([*begins, [at]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if not self.by_piece:
-            return [self._whole(t) for t in texts]
-        kept, out = self.kept, []
-        for k in range(0, len(texts), 16):
-            part = [None if _whole_only(t) else f"{LINE}{t}".replace("\n", LINED).split(" ") for t in texts[k : k + 16]]
-            pieces = list(chain.from_iterable(s for s in part if s))
-            ids = list(map(kept.get, pieces))
-            if None in ids:
-                self._fill(pieces, ids)
-            at = 0
-            for t, s in zip(texts[k : k + 16], part, strict=True):
-                if s is None:
-                    out.append(self._whole(t))
-                else:
-                    out.append(b"".join(ids[at : at + len(s)])[4:])  # a text begins as if after a new line
-                    at += len(s)
-        return out
+        if not texts:
+            return []
+        ids, at = self._flat(texts)
+        raw = ids.tobytes()
+        return [raw[a + 4 : e] for a, e in pairwise((at * 4).tolist())]
+
+    def ended(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, ``end_id`` after each, and how many ids each has with it."""
+        ids, at = self._flat(texts)
+        ids[at[1:-1]] = end_id  # where the next text's are begun
+        return np.append(ids[1:], np.uint32(end_id)), np.diff(at)
 
 
 #: Texts that are not cut: white space before a space, or other than a new line before a new line, three new lines, two
 #: at the end, or the character that stands for a new line in pieces.
 _SPACED = re.compile(r"\s |[^\S\n]\n|\n\n(?:\n|\Z)|\x00")
 LINE = "\x00"
-#: Punctuation that the pre-tokenizer parts from a letter or digit before it; no apostrophe, which may begin a contraction.
-_TAIL = ".,;:!?*#$%&|)]}\""
 LINED = f" {LINE}"
+#: Bytes of punctuation that the pre-tokenizer parts from a letter or digit before it (no apostrophe, which may begin a
+#: contraction), and letters and digits up to U+024F.
+_IN_TAIL = np.isin(np.arange(256), list(b".,;:!?*#$%&|)]}\""))
+_ALNUM = np.array([c < 0x250 and chr(c).isalnum() for c in range(0x280)])
 
 
 def _whole_only(text: str) -> bool:
@@ -200,6 +249,19 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in a row with texts of at most TOGETHER bytes in all, or one."""
+    have, size = [], 0
+    for b in batches:
+        if have and size + b.column(1).nbytes > TOGETHER:
+            yield have
+            have, size = [], 0
+        have.append(b)
+        size += b.column(1).nbytes
+    if have:
+        yield have
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the token ids of every whole text, ``end_id`` after each, to a folder of Parquet files.
 
@@ -215,17 +277,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     ranged = ranged.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, pos, start = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0, 0
-        for b in slices(batches):
-            ids = [x + end for x in coder.encode(b.column(1).to_pylist())]
-            ends = np.cumsum([len(x) // 4 for x in ids])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            starts = start + np.append(0, ends[:-1]).astype(np.int64)
+        coder, pos, start = encoder(tokenizer), 0, 0
+        for together in _gathered(slices(batches)):
+            ids, sizes = coder.ended([t for b in together for t in b.column(1).to_pylist()], end_id)
+            ends = np.cumsum(sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view("<i4")))
+            part, doc = (pa.concat_arrays([b.column(k) for b in together]) for k in (2, 0))
             yield pa.RecordBatch.from_arrays(
-                [b.column(2), pa.array(np.arange(pos, pos + len(ids))), pa.array(starts), pa.array(np.diff(ends, prepend=0).astype(np.int64)), b.column(0), lists],
+                [part, pa.array(np.arange(pos, pos + len(sizes))), pa.array(start + ends - sizes), pa.array(sizes), doc, lists],
                 names=["part", "pos", "part_start", "n_tokens", "doc_id", "ids"],
             )
-            pos, start = pos + len(ids), start + int(ends[-1])
+            pos, start = pos + len(sizes), start + int(ends[-1])
 
     schema = "part int, pos long, part_start long, n_tokens long, doc_id long, ids array<int>"
     ranged.mapInArrow(run, schema).write.options(**LAYOUT).parquet(out)

@@ -395,6 +395,46 @@ def test_encoder_is_the_library(name):
         assert made.encode(odd) == [np.array(made.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
 
 
+def test_encoder_looks_up_different_pieces_once():
+    class Counted(dict):
+        gets = 0
+
+        def get(self, *args):
+            self.gets += 1
+            return super().get(*args)
+
+    made = tokens.Encoder(queries.tokenizer_path())
+    texts = ["One word, another.\nOne é, ž; 3) word!" for _ in range(500)]
+    want = [made._whole(t) for t in texts]
+    made.kept = Counted()
+    for _ in range(2):
+        assert made.encode(texts) == want
+    assert made.kept.gets < 50  # 8,000 pieces of about a dozen kinds
+
+
+def test_ended_texts(monkeypatch):
+    made = tokens.Encoder(queries.tokenizer_path())
+    monkeypatch.setattr(tokens, "PLACED", 7)
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab ÉɏɐⱯ²中1.,)\"'\n <|>") for _ in range(rng.choice((0, 1, 9, 60)))) for _ in range(300)]
+    texts += ["é" + 9 * "." + " a" + 8 * ")" + " a,", "", "a,", "\n,", ", a", "a\x00, b", "ɏ, ɐ, \u0301, a\u0301, ²."]
+    for part in (texts, texts[-7:], [""], ["", ""], ["a  b"]):
+        ids, sizes = made.ended(part, 2)
+        want = [np.append(made.tokenizer.encode(t, add_special_tokens=False).ids, 2).astype("<u4") for t in part]
+        assert ids.tolist() == np.concatenate(want).tolist() and sizes.tolist() == [len(w) for w in want]
+
+
+def test_batches_are_gathered_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "TOGETHER", 40)
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array(["x" * n])], names=["doc_id", "text"]) for k, n in enumerate((1, 1, 500, 9, 9, 9, 0))]
+    groups = [[b.column(0)[0].as_py() for b in g] for g in tokens._gathered(batches)]
+    assert [k for g in groups for k in g] == list(range(7)) and [2] in groups and len(groups) < 6
+    assert list(tokens._gathered([])) == []
+
+
 # 9: mixing
 
 
