@@ -68,6 +68,7 @@ class Encoder:
             and (made.get("model") or {}).get("dropout") is None
         )
         self.added, self.kept = added, {}
+        self.after_lines = [f"\n\n{t}" for t in added]  # as at a text's end, two new lines may be one token there
         # how the byte-level alphabet writes the bytes of letters up to U+024F; checked before it is relied on
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         shown = {b: chr(256 + k) for k, b in enumerate(hidden)}
@@ -178,7 +179,7 @@ class Encoder:
         """All ids, one to be overwritten before each text's, and where these ones are, with the end."""
         whole, marked = {}, []
         for i, t in enumerate(texts):
-            if not self.by_piece or _whole_only(t):
+            if not self.by_piece or _whole_only(t) or any(x in t for x in self.after_lines):
                 whole[i] = b"\0\0\0\0" + self._whole(t)
                 marked.append(LINE.encode())
             else:
@@ -224,9 +225,10 @@ class Encoder:
         return np.append(ids[1:], np.uint32(end_id)), np.diff(at)
 
 
-#: Texts that are not cut: white space before a space, or other than a new line before a new line, three new lines, two
-#: at the end, or the character that stands for a new line in pieces.
-_SPACED = re.compile(r"\s |[^\S\n]\n|\n\n(?:\n|\Z)|\x00")
+#: Texts that are not cut: with white space before a space, or other than a new line before a new line, two new lines
+#: before white space or the end, white space other than a space or new line at the start (it would join a new line
+#: before it), or the character that stands for a new line in pieces.
+_SPACED = re.compile(r"\A[^\S\n ]|\s |[^\S\n]\n|\n\n(?:\s|\Z)|\x00")
 LINE = "\x00"
 LINED = f" {LINE}"
 #: Bytes of punctuation that the pre-tokenizer parts from a letter or digit before it (no apostrophe, which may begin a

@@ -412,6 +412,13 @@ def test_encoder_looks_up_different_pieces_once():
     assert made.kept.gets < 50  # 8,000 pieces of about a dozen kinds
 
 
+def test_white_space_that_meets_a_new_line():
+    made = tokens.Encoder(queries.tokenizer_path())
+    odd = ["\xa0", "\xa0\x0ba", "\t\t", "\r\r\xa0b", "\u2003\u3000", "\u3000a", "a\n\xa0", "a\n\xa0\x0bb"]
+    odd += ["a\n\n\x0bb", "a\n\n\x85b c", "a\n\n<|endoftext|>", "a b\n\n<|endoftext|>c", "a\n<|endoftext|>\n\nb"]
+    assert made.encode(odd) == [made._whole(t) for t in odd]
+
+
 def test_ended_texts(monkeypatch):
     made = tokens.Encoder(queries.tokenizer_path())
     monkeypatch.setattr(tokens, "PLACED", 7)
